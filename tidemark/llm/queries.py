@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality_rules
+from tidemark.llm import classifier, quality_rules
 from tidemark.llm.common import load
 
 
@@ -14,7 +14,12 @@ def op9_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(load(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_quality_classifier": op5_quality_classifier,
     "op9_host_quality_rules": op9_host_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
