@@ -1,7 +1,8 @@
 """SimHash near-dedup by the generalised pigeonhole principle.
 
-Fingerprint: 128 signs of the sum of word hashes weighted by log(1 + count); words are lower-cased runs of
-word characters of the whole text. Two documents are near duplicates when the first 64 bits differ in at
+Fingerprint: 128 signs of the sum of word hashes weighted by log(1 + count); words are the lower-cased
+white-space tokens of the whole text without the marks .,;:?" (other symbols count: a text and its
+marked-up or shouted copy are different). Two documents are near duplicates when the first 64 bits differ in at
 most `radius` places and all 128 in at most `radius_full`.
 
 Search: the 64 bits are split into groups of bits that correlate; group i gets a threshold t_i with
@@ -21,7 +22,7 @@ empty result; other columns are ignored by `groups` and returned untouched by `k
 
 from __future__ import annotations
 
-import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from math import ceil, comb, log2
@@ -36,8 +37,14 @@ from tidemark.llm.common import BoundedCache, cut
 
 PARAMETERS = {"radius": 8, "radius_full": 24}
 BITS = 64
-_WORD = re.compile(r"\w+")
-_FULL = (1 << 64) - 1
+_SYMBOLS = frozenset(string.punctuation)  # as words of their own they count once
+
+
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    for mark in '.,;:?"':
+        text = text.replace(mark, "")
+    return text.split()
 
 
 def fingerprints(texts: list[str | None], cache: BoundedCache | None = None) -> tuple[list[int | None], list[int | None]]:
@@ -47,11 +54,13 @@ def fingerprints(texts: list[str | None], cache: BoundedCache | None = None) ->
     lo: list[int | None] = []
     weight = np.round(np.log1p(np.arange(4096)) * 1024)
     for text in texts:
-        counts = Counter(_WORD.findall(text.lower())) if text else None
+        counts = Counter(words_of(text)) if text else None
         if not counts:
             hi.append(None)
             lo.append(None)
             continue
+        for symbol in _SYMBOLS & counts.keys():
+            counts[symbol] = 1
         n = np.fromiter(counts.values(), np.int64, len(counts))
         w = np.where(n < 4096, weight[np.minimum(n, 4095)], np.round(np.log1p(n) * 1024))
         total = np.zeros(128)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, quality_rules
+from tidemark.llm import classifier, near_dedup, quality_rules
 from tidemark.llm.common import load
 
 
@@ -18,7 +18,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op9_host_quality_rules": op9_host_quality_rules,
 }
