@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, near_dedup, quality_rules
+from tidemark.llm import classifier, near_dedup, quality_rules, substring_dedup
 from tidemark.llm.common import load
 
 
@@ -22,11 +22,17 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(load(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op9_host_quality_rules": op9_host_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.ORACLE,
     "op9_host_quality_rules": quality_rules.ORACLE,
 }
