@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, near_dedup, quality_rules, substring_dedup
+from tidemark.llm import classifier, near_dedup, packing, quality_rules, substring_dedup
 from tidemark.llm.common import load
 
 
@@ -26,7 +26,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(load(spark, sf_dir, "documents"))
 
 
+def op6_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_related_packing": op6_related_packing,
     "op2_substring_dedup": op2_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op5_quality_classifier": op5_quality_classifier,
