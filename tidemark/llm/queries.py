@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, near_dedup, packing, quality_rules, substring_dedup
+from tidemark.llm import classifier, near_dedup, packing, quality_rules, substring_dedup, url_filter, warc
 from tidemark.llm.common import load
 
 
@@ -30,7 +30,17 @@ def op6_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
 
+def op1_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(load(spark, sf_dir, "pages"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(load(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_url_filter": op10_url_filter,
+    "op1_warc_writer": op1_warc_writer,
     "op6_related_packing": op6_related_packing,
     "op2_substring_dedup": op2_substring_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
@@ -38,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_host_quality_rules": op9_host_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op10_url_filter": url_filter.oracle(),
     "op2_substring_dedup": substring_dedup.ORACLE,
     "op9_host_quality_rules": quality_rules.ORACLE,
 }
