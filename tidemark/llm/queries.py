@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, near_dedup, packing, quality_rules, substring_dedup, url_filter, warc
+from tidemark.llm import classifier, license_scan, near_dedup, packing, quality_rules, substring_dedup, url_filter, warc
 from tidemark.llm.common import load
 
 
@@ -38,7 +38,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_license_scan": op4_license_scan,
     "op10_url_filter": op10_url_filter,
     "op1_warc_writer": op1_warc_writer,
     "op6_related_packing": op6_related_packing,
