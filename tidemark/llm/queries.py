@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import classifier, license_scan, near_dedup, packing, quality_rules, substring_dedup, url_filter, warc
+from tidemark.llm import bpe, classifier, license_scan, near_dedup, packing, quality_rules, substring_dedup, url_filter, warc
 from tidemark.llm.common import load
 
 
@@ -42,7 +42,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(load(spark, sf_dir, "documents"))
 
 
+def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_bpe_encode": op3_bpe_encode,
     "op4_license_scan": op4_license_scan,
     "op10_url_filter": op10_url_filter,
     "op1_warc_writer": op1_warc_writer,
