@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, classifier, license_scan, near_dedup, packing, quality_rules, substring_dedup, url_filter, warc
+from tidemark.llm import ann, bpe, classifier, license_scan, near_dedup, packing, quality_rules, substring_dedup, url_filter, warc
 from tidemark.llm.common import load
 
 
@@ -46,7 +46,12 @@ def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(load(spark, sf_dir, "documents"))
 
 
+def op8_collision_counting_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(load(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_collision_counting_neighbours": op8_collision_counting_neighbours,
     "op3_bpe_encode": op3_bpe_encode,
     "op4_license_scan": op4_license_scan,
     "op10_url_filter": op10_url_filter,
