@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import numbered, slices
 
 CLASSES = 2  # 0 low quality, 1 good
 #: buckets is a power of 2; a document is rejected when p_good is under threshold, which is low since clean documents are to stay.
@@ -180,12 +180,14 @@ def score(docs: DataFrame, labels: DataFrame, p: dict = PARAMETERS) -> DataFrame
 def keep_good(docs: DataFrame, labels: DataFrame, p: dict = PARAMETERS) -> DataFrame:
     """The rows of docs that the classifier keeps, all columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, p))
+    at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value, p)
         for b in batches:
-            texts = b.column("text").to_pylist()
+            texts = b.column(at).to_pylist()
             keep = [t is not None and bool(t.strip()) and x >= p["threshold"] for t, x in zip(texts, np.round(scorer(texts)[:, 1], 6).tolist())]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    plain = numbered(docs)
+    return plain.mapInArrow(kept, plain.schema).toDF(*docs.columns)

@@ -37,9 +37,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def narrow(df: DataFrame, *columns: str) -> DataFrame:
-    """Just the named columns; those that are missing are null, others (clashing names included) are dropped."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ...: names as they may be (with dots, say) can't go through mapInArrow."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def parallelism(spark: SparkSession) -> int:
