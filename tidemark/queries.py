@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import captions
+from tidemark.plans import captions, timelines
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _family in (captions,):
+for _family in (captions, timelines):
     QUERIES |= _family.QUERIES
     ORACLE_SQL |= _family.ORACLE_SQL
