@@ -8,13 +8,14 @@ can go: every frame of `length` words that holds the anchor is compared, by hash
 all other documents. Frames that match in consecutive places chain up to maximal repeats, of any length.
 Comparing frames by hash and not document by document keeps the work linear in the number of
 occurrences: a passage in a hundred thousand documents costs a hundred thousand rows, not pairs.
+Equal texts are searched once.
 
 A repeat's origin is the smallest doc_id that has it. `repeats` gives origins and copies, `remove` cuts the
 copies and leaves the origin.
 
 Defined cases: null texts and null doc_ids have no repeats, `remove` leaves their rows alone; texts under
 `length` words have none; a repeat within one doc_id isn't one across documents and stays; rows with
-one doc_id are one document, equal rows are reported once; a document of which nothing remains is
+one doc_id are one document, equal rows are reported once, of differing texts under one doc_id each has its own places; a document of which nothing remains is
 dropped by `remove`; an empty table gives an empty result; other columns are ignored by `repeats` and
 returned by `remove` as they were, but for n_chars, which follows the text.
 """
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BoundedCache, cut, parallelism, slices
+from tidemark.llm.common import BoundedCache, cut, numbered, slices
 
 PARAMETERS = {"length": 50, "seed": 16}
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -40,7 +41,7 @@ _TOKEN = re.compile(r"\S+")
 
 
 def word_cache() -> BoundedCache:
-    return BoundedCache(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), 400_000)
+    return BoundedCache(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), 250_000)
 
 
 def hashed(texts: list[str | None], cache: BoundedCache) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +97,7 @@ def anchors(h: np.ndarray, bounds: np.ndarray, length: int, seed: int) -> tuple[
 
 
 def find_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """h, doc_id, fp, pos of each anchor."""
+    """h, doc_id, fp, pos of each anchor, and of each text of `length` words or more a row whose h stands for all of it and whose pos is -1 - words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache()
@@ -104,8 +105,12 @@ def find_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
             texts = b.column("text").to_pylist()
             ids, fps = b.column("doc_id").to_numpy(), b.column("fp").to_numpy()
             for x, y in slices([len(t or "") for t in texts], 2_000_000):
-                of, pos, g = anchors(*hashed(texts[x:y], cache), length, seed)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(ids[x:y][of]), pa.array(fps[x:y][of]), pa.array(pos.astype(np.int32))], ["h", "doc_id", "fp", "pos"])
+                h, bounds = hashed(texts[x:y], cache)
+                of, pos, g = anchors(h, bounds, length, seed)
+                n = np.diff(bounds)
+                whole = np.nonzero(n >= length)[0]
+                of, pos, g = np.concatenate([of, whole]), np.concatenate([pos, -1 - n[whole]]), np.concatenate([g.view(np.int64), ~fps[x:y][whole]])
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(ids[x:y][of]), pa.array(fps[x:y][of]), pa.array(pos.astype(np.int32))], ["h", "doc_id", "fp", "pos"])
 
     return docs.mapInArrow(run, "h long, doc_id long, fp long, pos int")
 
@@ -134,37 +139,58 @@ def find_frames(docs: DataFrame, length: int, seed: int) -> DataFrame:
     return docs.select("doc_id", "fp", "text", "at").mapInArrow(run, "h long, doc_id long, fp long, pos int")
 
 
-def shared_only(rows: DataFrame) -> DataFrame:
-    """The rows whose h occurs in two documents or more, with the first (smallest) doc_id that has it. One shuffle, by h, serves both sides."""
-    rows = rows.repartition(parallelism(rows.sparkSession), "h")
-    seen = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first")
-    return rows.join(seen, "h")
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null").withColumn("fp", F.xxhash64("text"))
 
 
-def matched_frames(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """doc_id, fp, pos, first of every frame that another document has too."""
-    docs = _keyed(docs)
-    at = shared_only(find_anchors(docs, length, seed)).groupBy("doc_id", "fp").agg(F.collect_set("pos").alias("at"))
-    return shared_only(find_frames(docs.join(at, ["doc_id", "fp"]), length, seed)).select("doc_id", "fp", "pos", "first")
+def shared_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
+    """The anchors that two different texts have, each at the smallest doc_id of its text; and the rows of whole texts that several documents have.
 
+    One shuffle, by h."""
+    h, text = Window.partitionBy("h"), Window.partitionBy("h", "fp")
+    rows = find_anchors(docs, length, seed).select("*", F.min("doc_id").over(text).alias("own"), F.min("doc_id").over(h).alias("first"), F.max("doc_id").over(h).alias("last"), F.min("fp").over(h).alias("x"), F.max("fp").over(h).alias("y"))
+    return cut(rows.where("first < last and (pos < 0 or (x <> y and doc_id = own))").select("doc_id", "fp", "pos"))
 
-def _runs(frames: DataFrame, by: list[str], length: int) -> DataFrame:
-    """Frames in consecutive places, as one stretch of words each."""
-    frames = frames.select(*by, "pos").distinct()
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(*by).orderBy("pos"))
-    return frames.withColumn("island", island).groupBy(*by, "island").agg(F.min("pos").alias("start_word"), (F.max("pos") + length).alias("end_word")).drop("island")
+
+def spans(docs: DataFrame, length: int = PARAMETERS["length"], seed: int = PARAMETERS["seed"]) -> DataFrame:
+    """doc_id, fp, start_word, end_word, first: each maximal repeat at each of its places; first is the smallest doc_id that has it.
+
+    Equal texts go through the search once, as the one of the smallest doc_id, the others get its repeats."""
+    docs = _keyed(docs)
+    found = shared_anchors(docs, length, seed)
+    at = found.where("pos >= 0").groupBy("doc_id", "fp").agg(F.collect_set("pos").alias("at"))
+    h, run = Window.partitionBy("h"), Window.partitionBy("doc_id", "fp", "first")
+    frames = find_frames(docs.join(at, ["doc_id", "fp"]), length, seed).select("*", F.min("doc_id").over(h).alias("first"), F.max("doc_id").over(h).alias("last")).where("first < last")
+    frames = frames.select("doc_id", "fp", "pos", "first", (F.col("pos") - F.dense_rank().over(run.orderBy("pos"))).alias("island"))  # frames in consecutive places
+    runs = cut(frames.groupBy("doc_id", "fp", "first", "island").agg(F.min("pos").alias("start_word"), (F.max("pos") + length).alias("end_word")).drop("island"))
+
+    copies = found.where("pos < 0").select("doc_id", "fp", (-1 - F.col("pos")).alias("n")).distinct()
+    wholes = copies.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    earlier = runs.where("first < doc_id").groupBy(F.col("doc_id").alias("rep"), "fp").agg(F.collect_list(F.struct("start_word", "end_word", "first")).alias("runs"))
+
+    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for fp, rep, n, own in zip(*[b.column(c).to_pylist() for c in ("fp", "rep", "n", "runs")]):
+                nxt = 0
+                for r in sorted(own or [], key=lambda r: r["start_word"]):
+                    if r["start_word"] > nxt:
+                        out.append((fp, nxt, r["start_word"] - 1 + length, rep))
+                    out.append((fp, r["start_word"], r["end_word"], r["first"]))
+                    nxt = r["end_word"] - length + 1
+                if nxt <= n - length:
+                    out.append((fp, nxt, n, rep))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, [pa.int64(), pa.int32(), pa.int32(), pa.int64()])], ["fp", "start_word", "end_word", "first"])
+
+    whole = wholes.join(earlier, ["rep", "fp"], "left").select("fp", "rep", "n", "runs").mapInArrow(covered, "fp long, start_word int, end_word int, first long")
+    return runs.join(copies, ["doc_id", "fp"], "left_anti").unionByName(copies.drop("n").join(whole, "fp"))
 
 
 def repeats(docs: DataFrame, length: int = PARAMETERS["length"], seed: int = PARAMETERS["seed"]) -> DataFrame:
     """doc_id, start_word, end_word, n_words, first_doc_id, is_copy: each maximal repeat at each of its places.
 
     A stretch is split where the document that has it first changes; end_word is exclusive."""
-    runs = _runs(matched_frames(docs, length, seed), ["doc_id", "fp", "first"], length)
-    return runs.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.col("first").alias("first_doc_id"), (F.col("first") < F.col("doc_id")).alias("is_copy")).distinct()
+    return spans(docs, length, seed).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.col("first").alias("first_doc_id"), (F.col("first") < F.col("doc_id")).alias("is_copy"))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -180,32 +206,32 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove(docs: DataFrame, length: int = PARAMETERS["length"], seed: int = PARAMETERS["seed"]) -> DataFrame:
     """docs without the copies of repeats; a document that was nothing else is gone."""
-    copies = matched_frames(docs, length, seed).where("first < doc_id")
-    spans = _runs(copies, ["doc_id", "fp"], length).groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans"))
-    spans = cut(spans.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), "__spans"))
-    names, schema = docs.columns, docs.schema
+    copies = spans(docs, length, seed).where("first < doc_id")
+    cuts = cut(copies.groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans")))
+    names = docs.columns
+    text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = b.column("__spans").to_pylist()
+            spans = b.column(len(names)).to_pylist()
             touched = [i for i, s in enumerate(spans) if s]
-            columns = {n: b.column(n) for n in names}
+            columns = [b.column(i) for i in range(len(names))]
             if touched:
-                texts = columns["text"].to_pylist()
+                texts = columns[text].to_pylist()
                 for i in touched:
                     texts[i] = without(texts[i], [(s["start_word"], s["end_word"]) for s in spans[i]])
-                columns["text"] = pa.array(texts, b.schema.field("text").type)
-                if "n_chars" in columns:
-                    n = columns["n_chars"].to_pylist()
+                columns[text] = pa.array(texts, columns[text].type)
+                if chars is not None:
+                    n = columns[chars].to_pylist()
                     for i in touched:
                         n[i] = len(texts[i])
-                    columns["n_chars"] = pa.array(n, b.schema.field("n_chars").type)
-            out = pa.RecordBatch.from_arrays(list(columns.values()), names)
+                    columns[chars] = pa.array(n, columns[chars].type)
+            out = pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
             gone = {i for i in touched if not texts[i]} if touched else ()
             yield out.filter(pa.array([i not in gone for i in range(len(spans))], pa.bool_())) if gone else out
 
-    joined = docs.join(spans, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__fp")), "left")
-    return joined.select(*[F.col(f"`{n}`") for n in names], "__spans").mapInArrow(run, schema)
+    joined = docs.join(cuts, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__fp")), "left")
+    return numbered(joined.select(*[F.col(f"`{n}`") for n in names], "__spans")).mapInArrow(run, numbered(docs).schema).toDF(*names)
 
 
 ORACLE = r"""
