@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import BoundedCache, cut
 
-PARAMETERS = {"radius": 8, "radius_full": 24}
+PARAMETERS = {"radius": 9, "radius_full": 24}
 BITS = 64
 _SYMBOLS = frozenset(string.punctuation)  # as words of their own they count once
 
@@ -49,7 +49,7 @@ def words_of(text: str) -> list[str]:
 
 def fingerprints(texts: list[str | None], cache: BoundedCache | None = None) -> tuple[list[int | None], list[int | None]]:
     """The two 64-bit halves (as signed integers) of each text's fingerprint; None without words."""
-    cache = cache if cache is not None else BoundedCache(lambda w: xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")), 300_000)
+    cache = cache if cache is not None else BoundedCache(lambda w: xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")), 200_000)
     hi: list[int | None] = []
     lo: list[int | None] = []
     weight = np.round(np.log1p(np.arange(4096)) * 1024)
@@ -77,7 +77,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, hi, lo: one row per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = BoundedCache(lambda w: xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")), 300_000)
+        cache = BoundedCache(lambda w: xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")), 200_000)
         for b in batches:
             hi, lo = fingerprints(b.column("text").to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["doc_id", "hi", "lo"])
