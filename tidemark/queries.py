@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import captions, timelines
+from tidemark.plans import captions, displays, timelines
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _family in (captions, timelines):
+for _family in (captions, timelines, displays):
     QUERIES |= _family.QUERIES
     ORACLE_SQL |= _family.ORACLE_SQL
