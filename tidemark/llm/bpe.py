@@ -27,7 +27,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_dir, slices
+from tidemark.llm.common import cut, fresh_dir, slices
 
 #: lexicon: words in the automaton; vocabulary: ranks file of a public tokenizer; remembered: words a task keeps.
 PARAMETERS = {"lexicon": 400_000, "vocabulary": "/opt/tokenizers/byte_bpe_50k.tiktoken", "remembered": 300_000}
@@ -234,8 +234,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent(docs: DataFrame, size: int) -> list[str]:
-    """The `size` words of the highest counts, the smaller word on a tie."""
-    return [r.word for r in word_counts(docs).orderBy(F.col("n").desc(), "word").limit(size).select("word").toLocalIterator()]
+    """The `size` words of the highest counts, the smaller word on a tie.
+
+    How many words have each count gives the least count that still fits; only words of that very count are ordered."""
+    counts = cut(word_counts(docs))
+    left, least = size, None
+    for n, words in sorted(((r.n, r.words) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True):
+        if words > left:
+            least = n
+            break
+        left -= words
+    if least is None:
+        return [r.word for r in counts.select("word").collect()]  # at most `size`
+    ties = counts.where(F.col("n") == least).select("word").orderBy("word").limit(left)
+    return [r.word for r in counts.where(F.col("n") > least).select("word").collect()] + [r.word for r in ties.collect()]
 
 
 def publish(spark: SparkSession, docs: DataFrame, p: dict) -> str:
