@@ -47,7 +47,7 @@ def test_small_functions(spark):
     got = values(spark, ["wohl=#00ff00:bold", "a=red", "bad", "=x"], "t string", c=T.highlight_spec(F.col("t")))
     assert [tuple(g) if g else None for g in got] == [("wohl", "#00ff00", True), ("a", "red", False), None, None]
     assert values(spark, [0, 1, 3, 400, 512], "n int", p=T.next_power_of_two(F.col("n"))) == [1, 1, 4, 512, 512]
-    assert values(spark, ["A.DVSPROJ", "a.mp4"], "t string", p=T.is_project(F.col("t"))) == [True, False]
+    assert values(spark, ["A.XPROJ", "a.mp4"], "t string", p=T.is_project(F.col("t"))) == [True, False]
 
 
 def test_subtitles(spark):

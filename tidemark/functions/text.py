@@ -135,7 +135,8 @@ def highlight_spec(spec: Column) -> Column:
 
 
 def is_project(path: Column) -> Column:
-    return F.lower(path).endswith(".dvsproj")
+    """Does the file's extension end in proj?"""
+    return F.lower(path).rlike(r"\.[a-z0-9]*proj$")
 
 
 def mel(f: Column) -> Column:

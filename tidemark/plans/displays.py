@@ -62,10 +62,10 @@ def decoded_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "turn", F.when(F.col("turn") % 2 == 0, O.nested_reply(F.col("a"))).otherwise(O.object_reply(F.col("b"))).alias("text"))
 
 
-@query("SELECT part_idx, row_number() OVER (ORDER BY part_idx) || '. ' || CASE WHEN part_idx % 3 = 0 THEN 'p' || part_idx || '.DvsProj [project]' ELSE 'p' || part_idx || '.mp4 [video]' END AS label FROM (SELECT DISTINCT conv_id AS part_idx FROM conversations)")
+@query("SELECT part_idx, row_number() OVER (ORDER BY part_idx) || '. ' || CASE WHEN part_idx % 3 = 0 THEN 'p' || part_idx || '.TmProj [project]' ELSE 'p' || part_idx || '.mp4 [video]' END AS label FROM (SELECT DISTINCT conv_id AS part_idx FROM conversations)")
 def part_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = X.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("part_idx")).distinct()
-    return O.part_list(parts.withColumn("path", F.concat(F.lit("/x/y\\p"), F.col("part_idx").cast("string"), F.expr("if(part_idx % 3 = 0, '.DvsProj', '.mp4')"))))
+    return O.part_list(parts.withColumn("path", F.concat(F.lit("/x/y\\p"), F.col("part_idx").cast("string"), F.expr("if(part_idx % 3 = 0, '.TmProj', '.mp4')"))))
 
 
 @query("SELECT conv_id AS doc_id, turn::INTEGER AS cue_idx, len(list_distinct(list_filter(list_transform(string_split_regex(text, '[\\s\\p{Z}]+'), lambda t: lower(regexp_replace(t, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g'))), lambda w: w <> '')))::INTEGER AS words FROM conversations")
