@@ -108,7 +108,7 @@ def train(texts: list[str], classes: list[int], p: dict = PARAMETERS) -> np.ndar
 class Scorer:
     """Class probabilities of texts. Words' scores are cached, at most `limit` of them."""
 
-    def __init__(self, model: np.ndarray, p: dict = PARAMETERS, limit: int = 500_000):
+    def __init__(self, model: np.ndarray, p: dict = PARAMETERS, limit: int = 250_000):
         self.model, self.p, self.limit = model, p, limit
         self.clear()
 

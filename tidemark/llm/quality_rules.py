@@ -21,7 +21,7 @@ from tidemark.llm.common import cut
 SYMBOLS = r"[#$%&*|!~^<>{}=+@\\]"
 #: symbols: most symbols a word, from 5 symbols on; upper: most capitals a character, from 40 capitals on; repeats: most words equal to
 #: the word before, from 4 on; word_length: most characters a word; host_rate: a host of more than this shrunk failure rate is rejected.
-PARAMETERS = {"symbols": 0.3, "upper": 0.3, "repeats": 0.2, "word_length": 40.0, "host_rate": 0.5, "flat_strength": 10.0}
+PARAMETERS = {"symbols": 0.3, "upper": 0.3, "repeats": 0.2, "word_length": 40.0, "host_rate": 0.5, "flat_strength": 10.0, "broadcast_hosts": 100_000}
 
 
 def features(text: Column) -> dict[str, Column]:
@@ -71,15 +71,18 @@ def judge(docs: DataFrame) -> DataFrame:
     return rows.join(host_verdicts(rows), "host").withColumn("keep", (F.col("rules_failed") == "") & ~F.col("host_rejected"))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The kept rows of docs, all columns as they were. No text is shuffled: the rules are evaluated in place, only verdicts are joined."""
-    hosts = host_verdicts(measured(docs)).where("host_rejected").select(F.col("host").alias("__host"))
+def keep_good(docs: DataFrame, p: dict = PARAMETERS) -> DataFrame:
+    """The kept rows of docs, all columns as they were. The rules are evaluated in place, only rejected hosts are joined."""
+    hosts = cut(host_verdicts(measured(docs)).where("host_rejected").select(F.col("host").alias("__host")))
+    rejected = hosts.count()
     own = features(F.coalesce(F.col("text"), F.lit("")))
     names = docs.columns
     passed = docs.select("*", F.coalesce(F.col("source"), F.lit("")).alias("__source"), *[c.alias(f"__{k}") for k, c in own.items()])
     for failed in failures("__").values():
         passed = passed.where(~failed)
-    return passed.join(hosts, F.col("__source") == F.col("__host"), "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    if rejected:  # up to broadcast_hosts of them are sent to the documents, more are joined by a shuffle
+        passed = passed.join(F.broadcast(hosts) if rejected <= p["broadcast_hosts"] else hosts, F.col("__source") == F.col("__host"), "left_anti")
+    return passed.select(*[F.col(f"`{c}`") for c in names])
 
 
 ORACLE = r"""
