@@ -113,6 +113,25 @@ def test_windows_hold_every_word_once(spark):
     assert packing.pack(df.where("false")).count() == 0
 
 
+def test_paths_are_the_same_for_one_block_and_many(spark):
+    docs = related() | {100 + i: related()[i] for i in range(5)}
+    df = spark.createDataFrame([row(i, t) for i, t in docs.items()], DOCS)
+
+    def paths(**other):  # noqa: ANN003, ANN202
+        got = packing.pack(df, packing.PARAMETERS | other).toPandas()
+        whole = got[got.word_from == 0].sort_values(["block", "window", "position"])
+        return got.block.nunique(), sorted(tuple(x) for x in whole.groupby(["block", "path"]).doc_id.agg(list))
+
+    (one, want), (many, spread), (_, rounds) = paths(), paths(window=50, block_windows=2), paths(window=50, block_windows=2, local_links=0)
+    assert one == 1 < many and want == spread == rounds
+    sketch = packing.sketches(df, packing.PARAMETERS["sketch"])
+    nodes = packing.terms_of(sketch, packing.PARAMETERS["terms"]).where("doc_id < 100").withColumnRenamed("doc_id", "id")
+    near = packing.nearest(nodes, packing.PARAMETERS["neighbours"]).toPandas()
+    path_of = {i: k for k, x in enumerate(want) for i in x}
+    inner = {i for x in want for i in [j for j in x if j < 100][1:-1]}
+    assert all(path_of[a] == path_of[b] or a in inner or b in inner for a, b in zip(near.a, near.b))
+
+
 def test_pipeline_stages_by_brute_force(spark, tmp_path):
     import corpus_pipeline
 
