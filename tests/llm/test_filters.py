@@ -98,6 +98,20 @@ def test_license_scan_equals_all_rules_without_prefilter(spark):
     assert license_scan.scan(docs.where("false")).count() == 0
 
 
+def test_license_notices_match_across_line_breaks():
+    s = license_scan.Scanner()
+    for rule, text in {
+        "bsd-redistribution": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted",
+        "gpl-or-later": "either version 2 of the License, or\n(at your option) any later version.",
+        "mpl-2.0-form": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.",
+        "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee",
+        "zlib-grant": "This software is provided 'as-is', without any express or implied\nwarranty.",
+    }.items():
+        for broken in (text, text.replace("\n", "\n * "), text.replace("\n", "\r\n# "), text.replace("\n", "\n//\n//  ")):
+            assert rule in [s.rules[k][0] for *_, k in s.scan(broken)], broken
+    assert [s.rules[k][0] for *_, k in s.scan("Apache License\n\n2. Grant of rights")] == ["apache-any"]
+
+
 def test_license_rules_have_their_keywords():
     s = license_scan.Scanner()
     assert len(s.rules) > 300 and len({r[0] for r in s.rules}) == len(s.rules)

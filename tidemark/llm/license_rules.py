@@ -2,20 +2,38 @@
 
 A rule is (name, license, priority, keywords, pattern). At least one of the keywords (lower case) is in every
 text that the pattern, which ignores case, can match: that is what the prefilter relies on.
+
+Patterns are written with [ \t] for a gap between words; `wrapped` makes it any white space with comment marks, so that
+notices match however they are broken into lines. Tags (SPDX-License-Identifier, license: ...) stay on their line.
 """
 
 from __future__ import annotations
 
+import re
+
 Rule = tuple[str, str, int, tuple[str, ...], str]
 
-#: SPDX id: (keyword, pattern of the license's name in prose).
+#: A gap between words: white space, with the marks of comment lines in it. Possessive, so long runs cost no backtracking.
+GAP = r"\s++[\s*#/;]*+"
+_GAPS = {
+    r"[ \t]+": GAP, r"[ \t]": GAP, r"[ \t]*": f"(?:{GAP})?",
+    r"[ \t-]+": r"[\s-]++(?:(?<=\s)[\s*#/;]*+)?", r"[ \t-]*": r"[\s-]*+(?:(?<=\s)[\s*#/;]*+)?", r"[ \t-]": f"(?:-?{GAP}|-)", r"[ \t-]?": f"(?:-?{GAP}|-)?",
+}
+
+
+def wrapped(pattern: str) -> str:
+    """The pattern with gaps that go across line breaks."""
+    return re.sub(r"\[ \\t-?\][+*?]?", lambda m: _GAPS[m[0]], pattern)
+
+
+#: SPDX id: (keyword, pattern of the license's name in prose). A number alone on the next line may be a list's, so it needs its decimal there.
 NAMES: dict[str, tuple[str, str]] = {
-    "MIT": ("mit", r"\bMIT(?:[ /-](?:style|expat|X11))?[ \t-]+licen[sc]e\b"),
+    "MIT": ("mit", r"\bMIT(?:(?:/|[ \t-])(?:style|expat|X11))?[ \t-]+licen[sc]e\b"),
     "MIT-0": ("mit", r"\bMIT[ \t-]+no[ \t-]+attribution(?:[ \t]+licen[sc]e)?\b"),
     "X11": ("x11", r"\bX11[ \t]+licen[sc]e\b"),
     "Apache-1.0": ("apache", r"\bApache(?:[ \t]+software)?[ \t]+licen[sc]e,?[ \t]+(?:version|v\.?)?[ \t]*1\.0\b"),
     "Apache-1.1": ("apache", r"\bApache(?:[ \t]+software)?[ \t]+licen[sc]e,?[ \t]+(?:version|v\.?)?[ \t]*1\.1\b"),
-    "Apache-2.0": ("apache", r"\bApache(?:[ \t]+software)?[ \t]+licen[sc]e,?[ \t]+(?:version|v\.?)?[ \t]*2(?:\.0)?\b"),
+    "Apache-2.0": ("apache", r"\bApache(?:[ \t]+software)?[ \t]+licen[sc]e,?(?:[ \t]+(?:version|v\.?)[ \t]*|[ \t]+(?=\d\.\d)|[^\S\r\n]+)2(?:\.0)?\b"),
     "BSD-1-Clause": ("bsd", r"\bBSD[ \t-]*1[ \t-]*clause\b|\b1[ \t-]*clause[ \t-]+BSD\b"),
     "BSD-2-Clause": ("bsd", r"\b(?:BSD[ \t-]*2[ \t-]*clause|2[ \t-]*clause[ \t-]+BSD|simplified[ \t]+BSD|FreeBSD)(?:[ \t]+licen[sc]e)?\b"),
     "BSD-3-Clause": ("bsd", r"\b(?:BSD[ \t-]*3[ \t-]*clause|3[ \t-]*clause[ \t-]+BSD|(?:new|revised|modified)[ \t]+BSD)(?:[ \t]+licen[sc]e)?\b"),
@@ -35,8 +53,8 @@ NAMES: dict[str, tuple[str, str]] = {
     "MPL-1.0": ("mozilla", r"\bmozilla[ \t]+public[ \t]+licen[sc]e,?[ \t]+(?:version|v\.?)[ \t]*1\.0\b"),
     "MPL-1.1": ("mozilla", r"\bmozilla[ \t]+public[ \t]+licen[sc]e,?[ \t]+(?:version|v\.?)[ \t]*1\.1\b"),
     "MPL-2.0": ("mozilla", r"\bmozilla[ \t]+public[ \t]+licen[sc]e,?[ \t]+(?:version|v\.?)[ \t]*2(?:\.0)?\b"),
-    "EPL-1.0": ("eclipse", r"\beclipse[ \t]+public[ \t]+licen[sc]e[ \t-]+(?:version|v\.?)?[ \t]*1(?:\.0)?\b"),
-    "EPL-2.0": ("eclipse", r"\beclipse[ \t]+public[ \t]+licen[sc]e[ \t-]+(?:version|v\.?)?[ \t]*2(?:\.0)?\b"),
+    "EPL-1.0": ("eclipse", r"\beclipse[ \t]+public[ \t]+licen[sc]e(?:[ \t-]+(?:version|v\.?)[ \t]*|[ \t-]+(?=\d\.\d)|(?:[^\S\r\n]|-)+)1(?:\.0)?\b"),
+    "EPL-2.0": ("eclipse", r"\beclipse[ \t]+public[ \t]+licen[sc]e(?:[ \t-]+(?:version|v\.?)[ \t]*|[ \t-]+(?=\d\.\d)|(?:[^\S\r\n]|-)+)2(?:\.0)?\b"),
     "CDDL-1.0": ("common development", r"\bcommon[ \t]+development[ \t]+and[ \t]+distribution[ \t]+licen[sc]e(?:,?[ \t]+(?:version|v\.?)[ \t]*1\.0)?\b"),
     "CDDL-1.1": ("common development", r"\bcommon[ \t]+development[ \t]+and[ \t]+distribution[ \t]+licen[sc]e,?[ \t]+(?:version|v\.?)[ \t]*1\.1\b"),
     "CPL-1.0": ("common public", r"\bcommon[ \t]+public[ \t]+licen[sc]e(?:,?[ \t]+(?:version|v\.?)[ \t]*1\.0)?\b"),
@@ -82,16 +100,16 @@ NAMES: dict[str, tuple[str, str]] = {
     "CDLA-Sharing-1.0": ("community data", r"\bcommunity[ \t]+data[ \t]+licen[sc]e[ \t]+agreement[ \t]*[-,]?[ \t]*sharing\b"),
     "MulanPSL-2.0": ("mulan", r"\bmulan[ \t]+permissive[ \t]+software[ \t]+licen[sc]e\b"),
     "BlueOak-1.0.0": ("blue oak", r"\bblue[ \t]+oak[ \t]+model[ \t]+licen[sc]e\b"),
-    "OpenRAIL-M": ("openrail", r"\b(?:bigscience|creativeml)?[ \t-]*openrail(?:[+][+])?(?:-M)?(?:[ \t]+licen[sc]e)?\b"),
+    "OpenRAIL-M": ("openrail", r"\b(?:(?:bigscience|creativeml)[ \t-]*|[-\t ]*)openrail(?:[+][+])?(?:-M)?(?:[ \t]+licen[sc]e)?\b"),
     "Hippocratic-2.1": ("hippocratic", r"\bhippocratic[ \t]+licen[sc]e\b"),
     "JSON": ("good, not evil", r"\bshall[ \t]+be[ \t]+used[ \t]+for[ \t]+good,[ \t]+not[ \t]+evil\b"),
 }
 
 #: Creative Commons: suffix, the words of its long name, versions.
 _CC = {
-    "BY": "attribution", "BY-SA": "attribution[ \\t-]+share[ \\t-]?alike", "BY-ND": "attribution[ \\t-]+no[ \\t-]?deriv(?:ative|ativework|ative work)s?",
+    "BY": "attribution", "BY-SA": "attribution[ \\t-]+share[ \\t-]?alike", "BY-ND": "attribution[ \\t-]+no[ \\t-]?deriv(?:ative|ativework|ative[ \\t]+work)s?",
     "BY-NC": "attribution[ \\t-]+non[ \\t-]?commercial", "BY-NC-SA": "attribution[ \\t-]+non[ \\t-]?commercial[ \\t-]+share[ \\t-]?alike",
-    "BY-NC-ND": "attribution[ \\t-]+non[ \\t-]?commercial[ \\t-]+no[ \\t-]?deriv(?:ative|ativework|ative work)s?",
+    "BY-NC-ND": "attribution[ \\t-]+non[ \\t-]?commercial[ \\t-]+no[ \\t-]?deriv(?:ative|ativework|ative[ \\t]+work)s?",
 }
 _CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
@@ -139,9 +157,9 @@ NOTICES: list[Rule] = [
 
 def rules() -> list[Rule]:
     """All rules. Where two have one priority, the earlier one goes first."""
-    out = list(NOTICES)
+    out = [(*rule, wrapped(pattern)) for *rule, pattern in NOTICES]
     for spdx, (keyword, pattern) in NAMES.items():
-        out.append((f"name-{spdx}", spdx, 50, (keyword,), pattern))
+        out.append((f"name-{spdx}", spdx, 50, (keyword,), wrapped(pattern)))
         escaped = spdx.replace(".", r"\.").replace("+", r"\+")
         out.append((f"spdx-{spdx}", spdx, 90, ("spdx-license-identifier",), rf"\bSPDX-License-Identifier:[ \t]*{escaped}(?:-only|-or-later|\+)?(?![\w.+-])"))
         out.append((f"field-{spdx}", spdx, 40, ("licen",), rf"\"?\blicen[sc]e\"?[ \t]*[:=][ \t]*[\"']?{escaped}(?:-only|-or-later|\+)?[\"']?(?![\w.+-])"))
@@ -149,8 +167,8 @@ def rules() -> list[Rule]:
         for version in _CC_VERSIONS:
             v, spdx, low = version.replace(".", r"\."), f"CC-{suffix}-{version}", suffix.lower()
             short = suffix.replace("-", "[ \\t-]")
-            out.append((f"short-{spdx}", spdx, 60, ("cc",), rf"\bCC[ \t-]{short}[ \t-]v?{v}\b"))
-            out.append((f"under-{spdx}", spdx, 80, ("cc",), rf"\b(?:licensed|released|available)[ \t]+under[ \t]+(?:the[ \t]+)?CC[ \t-]{short}[ \t-]v?{v}\b\.?"))
-            out.append((f"long-{spdx}", spdx, 65, ("creative commons",), rf"\bcreative[ \t]+commons[ \t]+{words}[ \t]+(?:international[ \t]+|unported[ \t]+)?v?{v}(?:[ \t]+(?:international|unported|generic))?\b"))
+            out.append((f"short-{spdx}", spdx, 60, ("cc",), wrapped(rf"\bCC[ \t-]{short}[ \t-]v?{v}\b")))
+            out.append((f"under-{spdx}", spdx, 80, ("cc",), wrapped(rf"\b(?:licensed|released|available)[ \t]+under[ \t]+(?:the[ \t]+)?CC[ \t-]{short}[ \t-]v?{v}\b\.?")))
+            out.append((f"long-{spdx}", spdx, 65, ("creative commons",), wrapped(rf"\bcreative[ \t]+commons[ \t]+{words}[ \t]+(?:international[ \t]+|unported[ \t]+)?v?{v}(?:[ \t]+(?:international|unported|generic))?\b")))
             out.append((f"url-{spdx}", spdx, 60, ("creativecommons.org",), rf"https?://(?:www\.)?creativecommons\.org/licenses/{low}/{v}/?"))
     return out
