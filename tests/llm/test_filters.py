@@ -112,6 +112,15 @@ def test_license_notices_match_across_line_breaks():
     assert [s.rules[k][0] for *_, k in s.scan("Apache License\n\n2. Grant of rights")] == ["apache-any"]
 
 
+def test_license_prefilter_reads_any_gap():
+    s = license_scan.Scanner()
+    for text in ("GNU General Public License", "Permission is hereby granted, free of charge, to any person obtaining a copy", "GNU Free Documentation License", "All rights reserved.", "released under the MIT License"):
+        want = [k for *_, k in s.scan(text)]
+        for gap in ("  ", "\t", " \t ", "\n", "\r\n", "\n * ", "\n# "):
+            wide = text.replace(" ", gap)
+            assert s.scan(wide) == license_scan.suppressed(s.detections(wide, range(len(s.rules)))) and want == [k for *_, k in s.scan(wide)] != [], wide
+
+
 def test_license_rules_have_their_keywords():
     s = license_scan.Scanner()
     assert len(s.rules) > 300 and len({r[0] for r in s.rules}) == len(s.rules)

@@ -1,7 +1,7 @@
 """The license signature rules: hand-written patterns, most specific first in each family.
 
 A rule is (name, license, priority, keywords, pattern). At least one of the keywords (lower case) is in every
-text that the pattern, which ignores case, can match: that is what the prefilter relies on.
+text that the pattern, which ignores case, can match, once its gaps are single spaces: that is what the prefilter relies on.
 
 Patterns are written with [ \t] for a gap between words; `wrapped` makes it any white space with comment marks, so that
 notices match however they are broken into lines. Tags (SPDX-License-Identifier, license: ...) stay on their line.

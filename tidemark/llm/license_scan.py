@@ -1,6 +1,6 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-One pass of an Aho-Corasick automaton over the lower-cased text finds which keywords occur; only rules with a keyword
+One pass of an Aho-Corasick automaton over the lower-cased text, each gap between words as one space, finds which keywords occur; only rules with a keyword
 there are run, over the whole text. Of overlapping detections, one inside the interval of another is suppressed
 when the other has a higher priority, or the same priority and a longer interval, or the same interval and an earlier
 rule. Detections that only partly overlap all stay.
@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.license_rules import Rule, rules
+from tidemark.llm.license_rules import GAP, Rule, rules
 
+#: Gaps that aren't one space already.
+_GAP = re.compile(rf"(?! [^\s*#/;]){GAP}")
 SCHEMA = "doc_id long, rule string, license string, priority int, start_char int, end_char int"
 
 
@@ -44,6 +46,7 @@ class Scanner:
         low = text.lower()
         if not low.isascii():  # letters that patterns take for i and s when case doesn't matter
             low = low.replace("i\u0307", "i").replace("\u0131", "i").replace("\u017f", "s")
+        low = _GAP.sub(" ", low)
         hit = {k for _, k in self.automaton.iter(low)}
         return sorted(set().union(*(self.gates[k] for k in hit))) if hit else []
 
