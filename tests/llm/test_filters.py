@@ -81,6 +81,18 @@ def test_classifier_on_awkward_tables(spark, labelled):
     assert classifier.keep_good(docs, labels.where("quality = 1")).where("doc_id = 1").count() == 1
 
 
+def test_training_documents_are_taken_from_those_there(spark):
+    docs = spark.createDataFrame([row(i, prose(i, 30)) for i in range(40)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(2000)], "doc_id long, quality int, toxic int")
+    p = classifier.PARAMETERS | {"buckets": 1 << 10, "max_per_class": 5}
+    assert np.array_equal(classifier.fit(docs, labels, p), classifier.fit(docs, labels.where("doc_id < 40"), p))
+    gone = docs.where("doc_id % 2 = 1")
+    assert classifier.keep_good(gone, labels, p | {"threshold": 2.0}, labelled=docs).count() == 0
+    q = classifier.Scorer(classifier.fit(docs, labels, p), p)([prose(1, 30)])[0, 1].round(6)
+    kept = classifier.keep_good(gone, labels, p | {"threshold": float(q)}, labelled=docs)
+    assert 1 in {r.doc_id for r in kept.collect()}
+
+
 def test_license_scan_equals_all_rules_without_prefilter(spark):
     s = license_scan.Scanner()
     texts = [

@@ -8,7 +8,7 @@ The mean and the layer are both linear, so scoring needs just the layer applied
 once: a word's sums of class scores are cached, and a document is the sum over its words.
 
 Training reads at most `max_per_class` labelled documents of each class, those of the smallest hashed
-doc_id; whole texts, both in training and in scoring. Everything else covers all rows.
+doc_id among the documents that are there; whole texts, both in training and in scoring. Everything else covers all rows.
 
 Defined cases: a null or blank text has no features and scores by the bias alone, and `keep_good`
 rejects it; a null doc_id is scored, never used in training; a doc_id with several labels uses the
@@ -152,9 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, p: dict = PARAMETERS) -> np.ndarray:
     """The model, from at most max_per_class labelled documents of each class, the same ones whatever the partitioning."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__quality"))
     order = F.xxhash64(F.col("__id"), F.lit(p["seed"]))
-    chosen = None
+    held = docs.where("text is not null").select(F.col("doc_id").alias("__doc"))
+    there, chosen = known.join(held, F.col("__id") == F.col("__doc"), "left_semi"), None
     for c in range(CLASSES):
-        part = known.where((F.col("__quality") >= 1) == F.lit(bool(c))).orderBy(order, "__id").limit(4 * p["max_per_class"])  # some labelled documents may be gone
+        part = there.where((F.col("__quality") >= 1) == F.lit(bool(c))).orderBy(order, "__id").limit(p["max_per_class"])
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # the bound makes it small
     rows = rows.where("text is not null").groupBy("__id", "__quality").agg(F.min("text").alias("text"))
@@ -177,9 +178,9 @@ def score(docs: DataFrame, labels: DataFrame, p: dict = PARAMETERS) -> DataFrame
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, p_good double, keep boolean")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, p: dict = PARAMETERS) -> DataFrame:
-    """The rows of docs that the classifier keeps, all columns as they were."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, p))
+def keep_good(docs: DataFrame, labels: DataFrame, p: dict = PARAMETERS, labelled: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that the classifier keeps, all columns as they were. It is trained on the documents `labelled`, or on docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs if labelled is None else labelled, labels, p))
     at = docs.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
