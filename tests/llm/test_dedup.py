@@ -107,6 +107,41 @@ def test_repeats_are_those_of_brute_force(spark):
     assert substring_dedup.repeats(docs.where("false")).count() == 0
 
 
+def test_a_repeat_goes_on_where_its_smallest_document_ends(spark):
+    passage = prose(90, 100).split()
+    docs = spark.createDataFrame([row(1, " ".join(passage[:50]) + " " + prose(91, 30)), row(2, prose(92, 30) + " " + " ".join(passage)), row(3, " ".join(passage) + " " + prose(93, 7))], DOCS)
+    got = {(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in substring_dedup.repeats(docs).collect()}
+    assert got == {(1, 0, 50, 1), (2, 30, 130, 2), (3, 0, 100, 2)}
+
+
+def test_families_of_edited_copies_match_brute_force(spark):
+    rows, rng = [], random.Random(8)
+    for family in range(3):
+        base = prose(800 + family, 260)
+        rows += [row(100 * family + i, edited(base, 10 * family + i, rng.choice([0, 0.004, 0.01, 0.03]))) for i in range(14)]
+    rows += [row(900, "a b c d e f g " * 60), row(901, "x " + "a b c d e f g " * 30 + "y"), row(902, "b c d e f g a " * 9)]
+    docs = spark.createDataFrame(rows, DOCS)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    got = substring_dedup.repeats(docs)
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({substring_dedup.ORACLE})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 50
+
+
+@given(st.lists(st.tuples(st.lists(st.integers(0, 1), max_size=5), st.integers(1, 3), st.booleans()), min_size=1, max_size=9))
+@settings(max_examples=200, deadline=None)
+def test_longest_shared_beginnings_are_those_of_brute_force(rows):
+    rows = sorted(rows)
+    want = []
+    for x, *_ in rows:
+        for n in range(len(x), -1, -1):
+            here = [(o, o + m) for y, o, m in rows if y[:n] == x[:n] and len(y) >= n]
+            if n == 0 or min(o for o, _ in here) < max(o for _, o in here):
+                want.append((n, min(o for o, _ in here)))
+                break
+    assert substring_dedup.longest_shared([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]) == want
+
+
 def test_remove_leaves_each_passage_once(spark):
     docs = spark.createDataFrame(documents() + [row(None, prose(70, 60)), row(40, None)], DOCS)
     left = {r.doc_id: r for r in substring_dedup.remove(clashing(docs)).collect()}

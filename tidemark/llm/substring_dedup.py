@@ -1,23 +1,31 @@
-"""Substring dedup by seed and extend: repeats of at least `length` words across documents.
+"""Substring dedup by seed and extend: maximal repeats of at least `length` words across documents.
 
 Words are white-space tokens, compared exactly. Seeds are winnowed anchors: of every `length` consecutive
 words, the `seed`-word gram of the smallest hash (all of them on a tie), so that equal stretches of
-`length` words have equal anchors. Documents are joined on anchors that occur in two documents or more;
-from each such anchor the match is extended both ways as far as a stretch of `length` words around it
-can go: every frame of `length` words that holds the anchor is compared, by hash, with the frames of
-all other documents. Frames that match in consecutive places chain up to maximal repeats, of any length.
-Comparing frames by hash and not document by document keeps the work linear in the number of
-occurrences: a passage in a hundred thousand documents costs a hundred thousand rows, not pairs.
+`length` words have equal anchors. Documents are joined on anchors that two different texts have. From there
+matches are extended both ways:
+
+* Every frame of `length` words around such an anchor is joined, by hash, with the frames of all other documents.
+* A frame's matches are extended to the left and right as one class while all its documents have the same word there;
+  where they first differ, the class ends. So a passage in a hundred thousand documents is a hundred
+  thousand rows, not pairs. What lies between two such places is a link; a document's run of shared frames is a chain of links.
+* From each link of a chain, the match with other documents is extended to the right over 8, 16, 32, ... more links. Chains that
+  begin with the same link are compared in sorted order, where the longest match is next to each other; only those that match
+  to the end of what was compared go on to the next round.
+
+A repeat is a stretch of a document that another one has too. A repeat is kept if no longer repeat of its document
+contains it, so kept ones may overlap: with A B C in one document, A B in another and B C in a third, the first has the repeats
+A B and B C. That is exact: all pairs of documents compared word by word give the same (tests, oracle SQL).
 Equal texts are searched once.
 
-A repeat's origin is the smallest doc_id that has it. `repeats` gives origins and copies, `remove` cuts the
-copies and leaves the origin.
+`first_doc_id` is the smallest doc_id that has the whole stretch. `remove` cuts every stretch of `length` words or more that a
+smaller doc_id has as well, so each passage stays in the document of the smallest doc_id.
 
 Defined cases: null texts and null doc_ids have no repeats, `remove` leaves their rows alone; texts under
 `length` words have none; a repeat within one doc_id isn't one across documents and stays; rows with
 one doc_id are one document, equal rows are reported once, of differing texts under one doc_id each has its own places; a document of which nothing remains is
 dropped by `remove`; an empty table gives an empty result; other columns are ignored by `repeats` and
-returned by `remove` as they were, but for n_chars, which follows the text.
+returned by `remove` as they were, whatever their names, but for n_chars, which follows the text.
 """
 
 from __future__ import annotations
@@ -116,13 +124,13 @@ def find_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
 
 def find_frames(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """h, doc_id, fp, pos of each frame of `length` words around the anchors in `at` (an array of places)."""
+    """h, doc_id, fp, multi, pos, before, after of each frame of `length` words around the anchors in `at` (an array of places); before and after are hashes of the words next to it, null at the ends of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache()
         for b in batches:
             texts = b.column("text").to_pylist()
-            ids, fps, at = b.column("doc_id").to_numpy(), b.column("fp").to_numpy(), b.column("at")
+            ids, fps, at, multi = b.column("doc_id").to_numpy(), b.column("fp").to_numpy(), b.column("at"), b.column("multi").to_numpy(zero_copy_only=False)
             for x, y in slices([len(t or "") for t in texts], 2_000_000):
                 h, bounds = hashed(texts[x:y], cache)
                 g = gram_hashes(h, length)
@@ -134,9 +142,12 @@ def find_frames(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 text = np.repeat(np.arange(y - x), np.diff(bounds))
                 start = np.nonzero((np.cumsum(mark)[: len(g)] > 0) & (text[: len(g)] == text[length - 1 :]))[0] if len(g) else np.zeros(0, np.int64)
                 of = text[start]
-                yield pa.RecordBatch.from_arrays([pa.array(g[start].view(np.int64)), pa.array(ids[x:y][of]), pa.array(fps[x:y][of]), pa.array((start - bounds[of]).astype(np.int32))], ["h", "doc_id", "fp", "pos"])
+                low = np.concatenate([h[:1], h, h[:1]]).astype(np.uint32).view(np.int32)  # one in front, one behind
+                before = pa.array(low[start], mask=start == bounds[of])
+                after = pa.array(low[start + length + 1], mask=start + length == bounds[of + 1])
+                yield pa.RecordBatch.from_arrays([pa.array(g[start].view(np.int64)), pa.array(ids[x:y][of]), pa.array(fps[x:y][of]), pa.array(multi[x:y][of]), pa.array((start - bounds[of]).astype(np.int32)), before, after], ["h", "doc_id", "fp", "multi", "pos", "before", "after"])
 
-    return docs.select("doc_id", "fp", "text", "at").mapInArrow(run, "h long, doc_id long, fp long, pos int")
+    return docs.select("doc_id", "fp", "multi", "text", "at").mapInArrow(run, "h long, doc_id long, fp long, multi boolean, pos int, before int, after int")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -144,53 +155,199 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def shared_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """The anchors that two different texts have, each at the smallest doc_id of its text; and the rows of whole texts that several documents have.
+    """doc_id, fp, pos, multi: the anchors that two different texts have, each at the smallest doc_id of its text (multi: several documents have that text); and the rows of whole texts that several documents have.
 
     One shuffle, by h."""
     h, text = Window.partitionBy("h"), Window.partitionBy("h", "fp")
-    rows = find_anchors(docs, length, seed).select("*", F.min("doc_id").over(text).alias("own"), F.min("doc_id").over(h).alias("first"), F.max("doc_id").over(h).alias("last"), F.min("fp").over(h).alias("x"), F.max("fp").over(h).alias("y"))
-    return cut(rows.where("first < last and (pos < 0 or (x <> y and doc_id = own))").select("doc_id", "fp", "pos"))
+    rows = find_anchors(docs, length, seed).select(
+        "*", F.min("doc_id").over(text).alias("own"), F.max("doc_id").over(text).alias("same"), F.min("doc_id").over(h).alias("first"), F.max("doc_id").over(h).alias("last"), F.min("fp").over(h).alias("x"), F.max("fp").over(h).alias("y")
+    )
+    return cut(rows.where("first < last and (pos < 0 or (x <> y and doc_id = own))").select("doc_id", "fp", "pos", (F.col("own") < F.col("same")).alias("multi")))
+
+
+CHAINS = "doc_id long, fp long, multi boolean, at int, starts array<int>, ends array<int>, links array<long>, firsts array<long>, cut_from array<int>, cut_to array<int>"
+
+
+def find_chains(frames: DataFrame, length: int) -> DataFrame:
+    """The runs of shared frames as chains of links, one row a run: places of the links, their names, the smallest doc_id that has each; and the places of the run that a smaller doc_id has too."""
+    h = Window.partitionBy("h")
+    several = lambda c: (F.min(c).over(h) < F.max(c).over(h)) | (F.count(c).over(h) < F.count(F.lit(1)).over(h))
+    rows = frames.select("doc_id", "fp", "multi", "pos", "h", F.min("doc_id").over(h).alias("first"), F.max("doc_id").over(h).alias("last"), F.max("multi").over(h).alias("any"), F.min("fp").over(h).alias("x"), F.max("fp").over(h).alias("y"), several("before").alias("opens"), several("after").alias("closes"))
+    rows = rows.where("x <> y and (first < last or any)").select("doc_id", "fp", "multi", "pos", "h", "first", "opens", "closes")
+
+    def emit(c: dict[str, np.ndarray]) -> pa.RecordBatch:
+        """Of whole texts' frames in order."""
+        text, pos, own = c["fp"], c["pos"], c["doc_id"]
+        new_run = np.ones(len(pos), bool)
+        new_run[1:] = (text[1:] != text[:-1]) | (own[1:] != own[:-1]) | (pos[1:] != pos[:-1] + 1)
+        new_link = new_run | c["opens"]
+        new_link[1:] |= c["closes"][:-1]
+        run, link = np.nonzero(new_run)[0], np.nonzero(new_link)[0]
+        offsets = pa.array(np.append(np.searchsorted(link, run), len(link)).astype(np.int32))
+        ends = np.append(link[1:], len(pos)) - 1
+        copied = c["first"] < own
+        from_ = np.nonzero(copied & (new_run | ~np.append(False, copied[:-1])))[0]
+        to = np.nonzero(copied & np.append(new_run[1:] | ~copied[1:], True))[0]
+        cuts = pa.array(np.append(np.searchsorted(from_, run), len(from_)).astype(np.int32))
+        arrays = [own[run], text[run], c["multi"][run], pos[run]]
+        lists = [(offsets, pos[link]), (offsets, pos[ends] + length), (offsets, c["h"][link]), (offsets, c["first"][link]), (cuts, pos[from_]), (cuts, pos[to] + length)]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays] + [pa.ListArray.from_arrays(o, pa.array(v, t)) for (o, v), t in zip(lists, types)], [c.split()[0] for c in CHAINS.split(", ")])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names}
+            last = np.nonzero((c["fp"] != c["fp"][-1]) | (c["doc_id"] != c["doc_id"][-1]))[0]
+            whole = last[-1] + 1 if len(last) else 0  # the last text may go on in the next batch
+            if whole or (held and (held[-1]["fp"][-1], held[-1]["doc_id"][-1]) != (c["fp"][0], c["doc_id"][0])):
+                held.append({n: v[:whole] for n, v in c.items()})
+                yield emit({n: np.concatenate([x[n] for x in held]) for n in c})
+                held = []
+            held.append({n: v[whole:] for n, v in c.items()})
+        if held:
+            yield emit({n: np.concatenate([x[n] for x in held]) for n in held[0]})
+
+    return rows.repartition("doc_id", "fp").sortWithinPartitions("doc_id", "fp", "pos").mapInArrow(run, CHAINS)
+
+
+def longest_shared(ahead: list[list[int]], own: list[int], multi: list[bool], root: int | None = None) -> list[tuple[int, int]]:
+    """For each of the sorted lists, how many of its first values another document's list has too, and the smallest document that has those.
+
+    The lists' common beginnings are a tree; a list's answer is at the nearest node above it that has two documents."""
+    found = [(0, 0)] * len(ahead)
+    open_: list[list] = [[0, 1 << 62, -(1 << 62), []]]  # nodes on the way down: depth, smallest and largest document, lists without an answer
+
+    def close() -> list:
+        depth, low, high, waiting = node = open_.pop()
+        if low < high:
+            for i in waiting:
+                found[i] = (depth, low)
+            node[3] = []
+        return node
+
+    def into(node: list, child: list) -> None:
+        node[1], node[2] = min(node[1], child[1]), max(node[2], child[2])
+        node[3] = node[3] + child[3] if len(node[3]) < len(child[3]) else node[3].__iadd__(child[3])
+
+    last: list[int] = []
+    for i, x in enumerate(ahead):
+        same = 0
+        for u, v in zip(last, x):
+            if u != v:
+                break
+            same += 1
+        while open_[-1][0] > same:
+            child = close()
+            if open_[-1][0] < same:
+                open_.append([same, child[1], child[2], child[3]])
+            else:
+                into(open_[-1], child)
+        leaf = [len(x), own[i], own[i] + multi[i], [i]]
+        if open_[-1][0] == len(x):
+            into(open_[-1], leaf)
+        else:
+            open_.append(leaf)
+        last = x
+    while len(open_) > 1:
+        child = close()
+        into(open_[-1], child)
+    depth, low, _, waiting = open_[0]
+    for i in waiting:
+        found[i] = (0, low if root is None else root)
+    return found
+
+
+def extended(chains: DataFrame, width: int = 8) -> DataFrame:
+    """fp, at, j, n, first: from link j of a chain, over how many links another document goes along, and the smallest doc_id that goes along so far. Chains of one link need no search and are absent."""
+    long = chains.where(F.size("links") > 1).select("doc_id", "fp", "multi", "at", "links", "firsts")
+    state = long.select("fp", "at", F.posexplode("links").alias("j", "c")).withColumn("done", F.lit(1))
+    out = None
 
-def spans(docs: DataFrame, length: int = PARAMETERS["length"], seed: int = PARAMETERS["seed"]) -> DataFrame:
-    """doc_id, fp, start_word, end_word, first: each maximal repeat at each of its places; first is the smallest doc_id that has it.
-
-    Equal texts go through the search once, as the one of the smallest doc_id, the others get its repeats."""
-    docs = _keyed(docs)
-    found = shared_anchors(docs, length, seed)
-    at = found.where("pos >= 0").groupBy("doc_id", "fp").agg(F.collect_set("pos").alias("at"))
-    h, run = Window.partitionBy("h"), Window.partitionBy("doc_id", "fp", "first")
-    frames = find_frames(docs.join(at, ["doc_id", "fp"]), length, seed).select("*", F.min("doc_id").over(h).alias("first"), F.max("doc_id").over(h).alias("last")).where("first < last")
-    frames = frames.select("doc_id", "fp", "pos", "first", (F.col("pos") - F.dense_rank().over(run.orderBy("pos"))).alias("island"))  # frames in consecutive places
-    runs = cut(frames.groupBy("doc_id", "fp", "first", "island").agg(F.min("pos").alias("start_word"), (F.max("pos") + length).alias("end_word")).drop("island"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows: list[tuple] = []
+
+        def settle() -> None:
+            found = longest_shared([r[1] for r in held], [r[2] for r in held], [r[3] for r in held])
+            for (c, ahead, _, _, fp, at, j, done, first), (n, low) in zip(held, found):
+                on = n == width
+                name = xxhash.xxh3_64_intdigest(np.array([c, *ahead], np.int64).tobytes()) - (1 << 63) if on else None
+                rows.append((fp, at, j, name, done + n, first if done + n == 1 else low, on))
+
+        def flush() -> pa.RecordBatch:
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+            out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 7, types)], ["fp", "at", "j", "c", "n", "first", "on"])
+            rows.clear()
+            return out
 
-    copies = found.where("pos < 0").select("doc_id", "fp", (-1 - F.col("pos")).alias("n")).distinct()
-    wholes = copies.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    earlier = runs.where("first < doc_id").groupBy(F.col("doc_id").alias("rep"), "fp").agg(F.collect_list(F.struct("start_word", "end_word", "first")).alias("runs"))
+        for b in batches:
+            for r in zip(*[b.column(n).to_pylist() for n in ("c", "ahead", "doc_id", "multi", "fp", "at", "j", "done", "first")]):
+                if held and held[0][0] != r[0]:
+                    settle()
+                    held.clear()
+                held.append(r)
+            yield flush()
+        if held:
+            settle()
+        yield flush()
+
+    while True:
+        begin = F.col("j") + F.col("done") + 1
+        left = F.greatest(F.least(F.size("links") - F.col("j") - F.col("done"), F.lit(width)), F.lit(0))
+        rows = state.join(long, ["fp", "at"]).select("c", F.when(left > 0, F.slice("links", begin, left)).otherwise(F.array().cast("array<long>")).alias("ahead"), "doc_id", "multi", "fp", "at", "j", "done", F.get("firsts", F.col("j")).alias("first"))
+        found = cut(rows.repartition("c").sortWithinPartitions("c", "ahead").mapInArrow(run, "fp long, at int, j int, c long, n int, first long, on boolean"))
+        done = found.where("not on").select("fp", "at", "j", "n", "first")
+        out = done if out is None else out.unionByName(done)
+        on = found.where("on")
+        if not on.head(1):
+            return out
+        state, width = on.select("fp", "at", "j", "c", F.col("n").alias("done")), 2 * width
+
+
+def _kept(chains: DataFrame, matches: DataFrame) -> DataFrame:
+    """fp, doc_id, multi, start_word, end_word, first: the matches that no other one of their chain contains."""
+    lists = matches.groupBy("fp", "at").agg(F.collect_list(F.struct("j", "n", "first")).alias("found"))
 
-    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for fp, rep, n, own in zip(*[b.column(c).to_pylist() for c in ("fp", "rep", "n", "runs")]):
-                nxt = 0
-                for r in sorted(own or [], key=lambda r: r["start_word"]):
-                    if r["start_word"] > nxt:
-                        out.append((fp, nxt, r["start_word"] - 1 + length, rep))
-                    out.append((fp, r["start_word"], r["end_word"], r["first"]))
-                    nxt = r["end_word"] - length + 1
-                if nxt <= n - length:
-                    out.append((fp, nxt, n, rep))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, [pa.int64(), pa.int32(), pa.int32(), pa.int64()])], ["fp", "start_word", "end_word", "first"])
+            for fp, doc_id, multi, starts, ends, firsts, found in zip(*[b.column(n).to_pylist() for n in ("fp", "doc_id", "multi", "starts", "ends", "firsts", "found")]):
+                reach = 0
+                for j, n, first in sorted((r["j"], r["n"], r["first"]) for r in found) if found else [(0, 1, firsts[0])]:
+                    if j + n > reach:
+                        reach = j + n
+                        out.append((fp, doc_id, multi, starts[j], ends[reach - 1], first))
+            types = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6, types)], ["fp", "doc_id", "multi", "start_word", "end_word", "first"])
 
-    whole = wholes.join(earlier, ["rep", "fp"], "left").select("fp", "rep", "n", "runs").mapInArrow(covered, "fp long, start_word int, end_word int, first long")
-    return runs.join(copies, ["doc_id", "fp"], "left_anti").unionByName(copies.drop("n").join(whole, "fp"))
+    rows = chains.select("fp", "at", "doc_id", "multi", "starts", "ends", "firsts").join(lists, ["fp", "at"], "left")
+    return rows.select("fp", "doc_id", "multi", "starts", "ends", "firsts", "found").mapInArrow(run, "fp long, doc_id long, multi boolean, start_word int, end_word int, first long")
 
 
-def repeats(docs: DataFrame, length: int = PARAMETERS["length"], seed: int = PARAMETERS["seed"]) -> DataFrame:
-    """doc_id, start_word, end_word, n_words, first_doc_id, is_copy: each maximal repeat at each of its places.
+def searched(docs: DataFrame, length: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The chains of all texts, and doc_id, fp, n of the documents whose text others have too."""
+    docs = _keyed(docs)
+    found = shared_anchors(docs, length, seed)
+    at = found.where("pos >= 0").groupBy("doc_id", "fp", "multi").agg(F.collect_set("pos").alias("at"))
+    chains = cut(find_chains(find_frames(docs.join(at, ["doc_id", "fp"]), length, seed), length))
+    return chains, found.where("pos < 0").select("doc_id", "fp", (-1 - F.col("pos")).alias("n")).distinct()
+
 
-    A stretch is split where the document that has it first changes; end_word is exclusive."""
-    return spans(docs, length, seed).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.col("first").alias("first_doc_id"), (F.col("first") < F.col("doc_id")).alias("is_copy"))
+def repeats(docs: DataFrame, length: int = PARAMETERS["length"], seed: int = PARAMETERS["seed"]) -> DataFrame:
+    """doc_id, start_word, end_word, n_words, first_doc_id, is_copy: each maximal repeat at each of its places; end_word is exclusive."""
+    chains, copies = searched(docs, length, seed)
+    kept = cut(_kept(chains, extended(chains)))
+    own = kept.where("not multi").select("doc_id", "fp", "start_word", "end_word", "first")
+    # a text that several documents have is one repeat, the whole of it; larger texts may have all of it as well
+    whole = copies.withColumn("least", F.min("doc_id").over(Window.partitionBy("fp")))
+    around = kept.where("multi and start_word = 0").select(F.col("fp").alias("f"), F.col("end_word").alias("e"), F.col("first").alias("around"))
+    whole = whole.join(around, (F.col("fp") == F.col("f")) & (F.col("n") == F.col("e")), "left")
+    whole = whole.select("doc_id", "fp", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), F.least("least", "around").alias("first"))
+    spans = own.unionByName(whole)
+    return spans.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.col("first").alias("first_doc_id"), (F.col("first") < F.col("doc_id")).alias("is_copy"))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -206,10 +363,17 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove(docs: DataFrame, length: int = PARAMETERS["length"], seed: int = PARAMETERS["seed"]) -> DataFrame:
     """docs without the copies of repeats; a document that was nothing else is gone."""
-    copies = spans(docs, length, seed).where("first < doc_id")
-    cuts = cut(copies.groupBy(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans")))
+    chains, copies = searched(docs, length, seed)
+    pair = F.zip_with("cut_from", "cut_to", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    parts = chains.where(F.size("cut_from") > 0).select("doc_id", "fp", pair.alias("s"))
+    wholes = copies.withColumn("least", F.min("doc_id").over(Window.partitionBy("fp"))).where("doc_id > least")
+    wholes = wholes.select("doc_id", "fp", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("s"))
+    cuts = parts.unionByName(wholes).groupBy("doc_id", "fp").agg(F.flatten(F.collect_list("s")).alias("s"))
     names = docs.columns
+    own = numbered(docs)
     text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    c = [f"c{i}" for i in range(len(names))]
+    cuts = cut(cuts.toDF("k_id", "k_fp", "k_s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,19 +383,19 @@ def remove(docs: DataFrame, length: int = PARAMETERS["length"], seed: int = PARA
             if touched:
                 texts = columns[text].to_pylist()
                 for i in touched:
-                    texts[i] = without(texts[i], [(s["start_word"], s["end_word"]) for s in spans[i]])
+                    texts[i] = without(texts[i], [(s["a"], s["b"]) for s in spans[i]])
                 columns[text] = pa.array(texts, columns[text].type)
                 if chars is not None:
                     n = columns[chars].to_pylist()
                     for i in touched:
                         n[i] = len(texts[i])
                     columns[chars] = pa.array(n, columns[chars].type)
-            out = pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
+            out = pa.RecordBatch.from_arrays(columns, c)
             gone = {i for i in touched if not texts[i]} if touched else ()
             yield out.filter(pa.array([i not in gone for i in range(len(spans))], pa.bool_())) if gone else out
 
-    joined = docs.join(cuts, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__fp")), "left")
-    return numbered(joined.select(*[F.col(f"`{n}`") for n in names], "__spans")).mapInArrow(run, numbered(docs).schema).toDF(*names)
+    joined = own.join(cuts, (F.col(c[names.index("doc_id")]) == F.col("k_id")) & (F.xxhash64(c[text]) == F.col("k_fp")), "left")
+    return joined.select(*c, "k_s").mapInArrow(run, own.schema).toDF(*names)
 
 
 ORACLE = r"""
@@ -239,9 +403,10 @@ WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL
 w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM d),
 f AS (SELECT doc_id, text, w, unnest(range(0, len(w) - 49)) AS s FROM w WHERE len(w) >= 50),
 h AS (SELECT doc_id, hash(text) AS fp, s, md5(array_to_string(w[s + 1:s + 50], ' ')) AS h FROM f),
-g AS (SELECT h, min(doc_id) AS first_doc_id FROM h GROUP BY h HAVING min(doc_id) < max(doc_id)),
-m AS (SELECT DISTINCT doc_id, fp, s, first_doc_id FROM h JOIN g USING (h)),
-i AS (SELECT *, s - row_number() OVER (PARTITION BY doc_id, fp, first_doc_id ORDER BY s) AS island FROM m),
-r AS (SELECT doc_id, fp, first_doc_id, min(s) AS a, max(s) + 50 AS b FROM i GROUP BY doc_id, fp, first_doc_id, island)
-SELECT DISTINCT doc_id, a::INTEGER AS start_word, b::INTEGER AS end_word, (b - a)::INTEGER AS n_words, first_doc_id, first_doc_id < doc_id AS is_copy FROM r
+p AS (SELECT x.doc_id, x.fp, x.s, y.doc_id AS other, y.fp AS other_fp, y.s - x.s AS apart FROM h x JOIN h y USING (h) WHERE x.doc_id <> y.doc_id),
+i AS (SELECT *, s - row_number() OVER (PARTITION BY doc_id, fp, other, other_fp, apart ORDER BY s) AS island FROM p),
+m AS (SELECT doc_id, fp, other, min(s) AS a, max(s) + 50 AS b FROM i GROUP BY doc_id, fp, other, other_fp, apart, island),
+g AS (SELECT doc_id, fp, a, b, least(doc_id, min(other)) AS first_doc_id FROM m GROUP BY doc_id, fp, a, b),
+k AS (SELECT *, max(b) OVER (PARTITION BY doc_id, fp ORDER BY a, b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g)
+SELECT DISTINCT doc_id, a::INTEGER AS start_word, b::INTEGER AS end_word, (b - a)::INTEGER AS n_words, first_doc_id, first_doc_id < doc_id AS is_copy FROM k WHERE reach IS NULL OR b > reach
 """
