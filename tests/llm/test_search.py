@@ -34,6 +34,37 @@ def test_recall_over_all_queries(spark):
         assert len(rows) == 10 * len(v) and all(r.vec_id != r.neighbour_id for r in rows)
 
 
+def test_vectors_without_structure_and_far_cells():
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((3000, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    p = ann.PARAMETERS
+    ids = np.arange(3000)
+    whole, half = ann.Index(ids, v, p), ann.Index(ids[1500:], v[1500:], p)
+    q, x, d = whole.search(ids[:200], v[:200])
+    found = [set(x[q == i].tolist()) for i in range(200)]
+    exact = np.sqrt(((v[:200, None] - v[None]) ** 2).sum(-1))
+    exact[np.arange(200), np.arange(200)] = 9
+    want = np.argsort(exact, axis=1)[:, :10]
+    assert np.mean([len(f & set(w.tolist())) for f, w in zip(found, want)]) >= 9
+    limit = np.sort(exact, axis=1)[:, 9] + 1e-6
+    q, x, d = half.search(ids[:200], v[:200], limit)  # only what is within the limit
+    near = {(i, j) for i, j in zip(*np.nonzero(exact <= limit[:, None])) if j >= 1500}
+    got = set(zip(q.tolist(), (x + 1500).tolist()))
+    assert got <= near and len(got) >= 0.9 * len(near) and (d <= limit[q] + 1e-5).all()
+
+
+def test_collisions_are_counted_in_the_windows():
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((200, 5)).astype(np.float32)
+    p = ann.PARAMETERS | {"projections": 7, "slack": 0.0}
+    own = ann.Index(np.arange(200), v, p)
+    where = own.directions @ v[:9].T
+    for half in (0.0, 0.3, 2.0, 100.0):
+        plain = (np.abs((own.directions @ v.T)[:, None, :] - where[:, :, None]) <= half + 1e-6).sum(axis=0) >= ann.enough(p)
+        assert (own.collided(where, np.full(9, half + 1e-6, np.float32)) == plain).mean() > 0.999
+
+
 def test_neighbours_on_awkward_tables(spark):
     e = lambda *x: [float(y) for y in x]
     rows = [(1, e(0, 0)), (2, e(0, 0)), (3, e(1, 0)), (3, e(1, 0)), (4, None), (5, []), (6, [None, 1.0]), (7, e(1, 2, 3)), (8, [float("nan"), 0.0]), (None, e(1, 1)), (9, e(5, 5))]
@@ -43,7 +74,9 @@ def test_neighbours_on_awkward_tables(spark):
         got.setdefault(r.vec_id, []).append((r.neighbour_id, r.distance))
     assert {i: [n for n, _ in x] for i, x in got.items()} == {1: [2, 3, 9], 2: [1, 3, 9], 3: [1, 2, 9], 9: [3, 1, 2]}
     assert got[1][0] == (2, 0.0)
-    assert ann.neighbours(df.where("vec_id = 1")).count() == 0 and ann.neighbours(df.where("false")).count() == 0
+    assert ann.neighbours(df.where("vec_id = 1")).count() == 0 and ann.neighbours(clashing(df).where("false")).count() == 0
+    same = spark.createDataFrame([(i, e(1, 1, 1)) for i in range(60)], "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in ann.neighbours(clashing(same), ann.PARAMETERS | {"block": 25}).where("vec_id = 5").select("neighbour_id", "distance").collect()} == {(i, 0.0) for i in range(11) if i != 5}
 
 
 def brute_links(docs: dict, p: dict) -> dict:
