@@ -165,7 +165,7 @@ def shared_anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
     return cut(rows.where("first < last and (pos < 0 or (x <> y and doc_id = own))").select("doc_id", "fp", "pos", (F.col("own") < F.col("same")).alias("multi")))
 
 
-CHAINS = "doc_id long, fp long, multi boolean, at int, starts array<int>, ends array<int>, links array<long>, firsts array<long>, cut_from array<int>, cut_to array<int>"
+CHAINS = "doc_id long, fp long, multi boolean, at int, starts array<int>, ends array<int>, links array<long>, firsts array<long>, opens array<boolean>, cut_from array<int>, cut_to array<int>"
 
 
 def find_chains(frames: DataFrame, length: int) -> DataFrame:
@@ -190,8 +190,8 @@ def find_chains(frames: DataFrame, length: int) -> DataFrame:
         to = np.nonzero(copied & np.append(new_run[1:] | ~copied[1:], True))[0]
         cuts = pa.array(np.append(np.searchsorted(from_, run), len(from_)).astype(np.int32))
         arrays = [own[run], text[run], c["multi"][run], pos[run]]
-        lists = [(offsets, pos[link]), (offsets, pos[ends] + length), (offsets, c["h"][link]), (offsets, c["first"][link]), (cuts, pos[from_]), (cuts, pos[to] + length)]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        lists = [(offsets, pos[link]), (offsets, pos[ends] + length), (offsets, c["h"][link]), (offsets, c["first"][link]), (offsets, c["opens"][link]), (cuts, pos[from_]), (cuts, pos[to] + length)]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays] + [pa.ListArray.from_arrays(o, pa.array(v, t)) for (o, v), t in zip(lists, types)], [c.split()[0] for c in CHAINS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,9 +261,11 @@ def longest_shared(ahead: list[list[int]], own: list[int], multi: list[bool], ro
 
 
 def extended(chains: DataFrame, width: int = 8) -> DataFrame:
-    """fp, at, j, n, first: from link j of a chain, over how many links another document goes along, and the smallest doc_id that goes along so far. Chains of one link need no search and are absent."""
-    long = chains.where(F.size("links") > 1).select("doc_id", "fp", "multi", "at", "links", "firsts")
-    state = long.select("fp", "at", F.posexplode("links").alias("j", "c")).withColumn("done", F.lit(1))
+    """fp, at, j, n, first: from link j of a chain, over how many links another document goes along, and the smallest doc_id that goes along so far.
+
+    Absent are chains of one link, which need no search, and links before which all documents have the same word: what matches from there, matches from further left."""
+    long = chains.where(F.size("links") > 1).select("doc_id", "fp", "multi", "at", "links", "firsts", "opens")
+    state = long.select("fp", "at", F.posexplode(F.arrays_zip("links", "opens")).alias("j", "x")).where("x.opens").select("fp", "at", "j", F.col("x.links").alias("c"), F.lit(1).alias("done"))
     out = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
