@@ -1,4 +1,4 @@
-"""The license signature rules: hand-written patterns, most specific first in each family.
+"""The license signature rules: hand-written patterns, most specific first in each family; those of license_phrases.py are among them.
 
 A rule is (name, license, priority, keywords, pattern). At least one of the keywords (lower case) is in every
 text that the pattern, which ignores case, can match, once its gaps are single spaces: that is what the prefilter relies on.
@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 
+from tidemark.llm.license_phrases import PHRASES
+
 Rule = tuple[str, str, int, tuple[str, ...], str]
 
 #: A gap between words: white space, with the marks of comment lines in it. Possessive, so long runs cost no backtracking.
@@ -155,9 +157,18 @@ NOTICES: list[Rule] = [
 ]
 
 
+def phrases() -> list[Rule]:
+    """The rules of license_phrases.py."""
+    out = []
+    for line in PHRASES.strip().splitlines():
+        name, spdx, priority, keyword, pattern = line.split("; ", 4)
+        out.append((name, spdx, int(priority), (keyword,), pattern.replace(" ?", "\0").replace(" ", GAP).replace("\0", f"(?:{GAP})?")))
+    return out
+
+
 def rules() -> list[Rule]:
     """All rules. Where two have one priority, the earlier one goes first."""
-    out = [(*rule, wrapped(pattern)) for *rule, pattern in NOTICES]
+    out = [(*rule, wrapped(pattern)) for *rule, pattern in NOTICES] + phrases()
     for spdx, (keyword, pattern) in NAMES.items():
         out.append((f"name-{spdx}", spdx, 50, (keyword,), wrapped(pattern)))
         escaped = spdx.replace(".", r"\.").replace("+", r"\+")

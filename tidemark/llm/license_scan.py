@@ -13,6 +13,7 @@ is exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -59,11 +60,23 @@ class Scanner:
 
 
 def suppressed(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """The detections that no stronger one contains, by place."""
+    """The detections that no stronger one contains, by place.
+
+    From the strongest on, `reach` (a Fenwick tree over the starts) tells how far those that begin no later go: n log n."""
+    starts = sorted({d[0] for d in found})
+    reach = [-1] * (len(starts) + 1)
     kept: list[tuple[int, int, int, int]] = []
     for d in sorted(set(found), key=lambda d: (-d[2], d[0] - d[1], d[3], d[0])):
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+        at = i = bisect_left(starts, d[0]) + 1
+        far = -1
+        while i:
+            far = max(far, reach[i])
+            i &= i - 1
+        if far < d[1]:
             kept.append(d)
+            while at < len(reach):
+                reach[at] = max(reach[at], d[1])
+                at += at & -at
     return sorted(kept)
 
 
