@@ -1,13 +1,17 @@
 """Quality rules, quality classifier, license scan, URL filter."""
 
 import random
+import re
+import time
 
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from tests.llm.helpers import DOCS, awkward, clashing, prose, row
-from tidemark.llm import classifier, license_scan, quality_rules, url_filter
+from tidemark.llm import classifier, license_phrases, license_rules, license_scan, quality_rules, url_filter
 
 
 def rows_of(df):
@@ -135,10 +139,47 @@ def test_license_prefilter_reads_any_gap():
 
 def test_license_rules_have_their_keywords():
     s = license_scan.Scanner()
-    assert len(s.rules) > 300 and len({r[0] for r in s.rules}) == len(s.rules)
+    assert len({r[0] for r in s.rules}) == len(s.rules)
+    assert len(license_rules.NOTICES) + len(license_rules.NAMES) + len(license_rules.phrases()) > 300  # hand-written, the rest are tags
     assert all(k == k.lower() for r in s.rules for k in r[3])
 
 
+@pytest.mark.parametrize("line", license_phrases.PHRASES.strip().splitlines(), ids=lambda line: line.split(";")[0])
+def test_license_phrases_pass_their_gate(line):
+    name, _, _, _, pattern = line.split("; ", 4)
+    s = license_scan.Scanner([r for r in license_rules.phrases() if r[0] == name])
+
+    @given(st.from_regex(pattern, fullmatch=True).filter(str.isascii))
+    @settings(max_examples=5, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+    def holds(text):
+        for gap in (" ", "\n * "):
+            broken = text.replace(" ", gap)
+            if s.detections(broken, [0]):
+                assert s.candidates(broken) == [0], broken
+        if re.fullmatch(pattern, text, re.IGNORECASE) and "\n" not in text:
+            assert s.detections(text, [0]), text
+
+    holds()
+
+
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 6), st.integers(1, 3), st.integers(0, 3)), max_size=14))
+@settings(max_examples=200, deadline=None)
+def test_suppression_is_that_of_all_pairs(found):
+    found = [(a, a + n, p, k) for a, n, p, k in found]
+    strength = lambda d: (-d[2], d[0] - d[1], d[3], d[0])
+    want = sorted(d for d in set(found) if not any(e[0] <= d[0] and d[1] <= e[1] and strength(e) < strength(d) for e in set(found)))
+    assert license_scan.suppressed(found) == want
+
+
+def test_long_texts_of_repeats_take_linear_time():
+    s, took = license_scan.Scanner(), []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        assert len(s.scan("copyright 2020 " * n)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0]
+
+
 @pytest.mark.parametrize(
     ("found", "kept"),
     [
@@ -160,9 +201,22 @@ URLS = [
 ENTRIES = [("block", "example.org"), ("allow", "example.org/a"), ("block", "example.org/a/b"), ("allow", "b.example.org"), ("block", "test"), ("allow", "x.test"), ("block", "x.test"), ("block", ""), ("block", "x.test/private")]
 
 
+def way_of(url):
+    """Plain: reversed labels, '/', segments."""
+    rest = re.split(r"[?#]", re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", (url or "").strip(" ")), maxsplit=1)[0]
+    host, _, path = rest.partition("/")
+    host = re.sub(r":[0-9]*$", "", host.rpartition("@")[2]).rstrip(".").lower()
+    return [*host.split(".")[::-1], "/", *[s for s in path.split("/") if s]] if host else []
+
+
 def brute(url, entries):
-    way = url_filter.steps(url)
-    hits = [(len(k), a == "block", a, " ".join(k)) for a, e in entries if (k := url_filter.key_of(e).split(" ")) != [""] and way[: len(k)] == k]
+    hits = []
+    for action, entry in entries:
+        k, way = way_of(entry), way_of(url)
+        k = k[:-1] if k and k[-1] == "/" else k
+        if k and way[: len(k)] == k:
+            host, path = ".".join(k[: k.index("/")] if "/" in k else k), k[k.index("/") + 1 :] if "/" in k else []
+            hits.append((len(k), action == "block", action, "/".join([host, *path])))
     return max(hits)[2:] if hits else ("allow", "")
 
 
@@ -170,6 +224,22 @@ def test_url_filter_trie_join_and_brute_force_agree(spark):
     pages = clashing(spark.createDataFrame([(i, u) for i, u in enumerate(URLS)] + [(1, URLS[0]), (None, URLS[0])], "page_id long, url string"))
     want = sorted(((i, u, *brute(u, ENTRIES)) for i, u in [*enumerate(URLS), (1, URLS[0]), (None, URLS[0])]), key=repr)
     assert rows_of(url_filter.judge(pages, ENTRIES)) == want
+    assert rows_of(url_filter.judge(pages, spark.createDataFrame(ENTRIES, url_filter.ENTRIES))) == want
     assert rows_of(url_filter.judge(pages, ENTRIES, url_filter.PARAMETERS | {"max_broadcast": 0})) == want
     assert rows_of(url_filter.judge(pages, [])) == sorted(((r[0], r[1], "allow", "") for r in want), key=repr)
     assert url_filter.judge(pages.where("false"), ENTRIES).count() == 0
+    con = duckdb.connect()
+    con.register("pages", pages.select("page_id", "url").toPandas().astype({"page_id": "Int64"}))
+    assert sorted(con.sql(f"SELECT page_id, url, action, entry FROM ({url_filter.oracle(ENTRIES)})").fetchall(), key=repr) == want
+
+
+def test_a_blank_in_a_segment_is_not_the_end_of_it(spark):
+    pages = spark.createDataFrame([(1, "http://example.com/a b"), (2, "http://example.com/a/b"), (3, "http://example.com/a.b/c")], "page_id long, url string")
+    for p in (url_filter.PARAMETERS, url_filter.PARAMETERS | {"max_broadcast": 0}):
+        got = url_filter.judge(pages, [("block", "example.com/a b"), ("block", "b.example.com"), ("block", "example.com/a.b")], p)
+        assert {r.page_id: r.action for r in got.collect()} == {1: "block", 2: "allow", 3: "block"}
+
+
+def test_the_rules_file():
+    rules = url_filter.entries_of(url_filter.PARAMETERS["rules"])
+    assert len(rules) > 200 and {a for a, _ in rules} == {"allow", "block"} and len(set(rules)) == len(rules)

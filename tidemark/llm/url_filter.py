@@ -5,124 +5,158 @@ very host and paths that begin with those segments. In the trie, host labels com
 for the end of the host, then path segments. The deepest entry on a url's way decides; where one key has
 both actions, block does. Without any, the default action holds.
 
-The compiled trie is broadcast while the list has at most `max_broadcast` entries. Beyond that the same keys are
-matched by an equi-join on all prefixes of each url, with the same result.
+A key is the way as one string, labels joined by '.', then '/' and segments joined by '/'; neither mark can be in what it
+joins. Lists are a table (action, entry), a Python list, or the file `url_rules.txt`. While they have at most `max_broadcast`
+keys, the compiled trie, a few plain arrays, is broadcast, and the urls of a batch step through it side by side. Beyond that the
+same keys are matched by an equi-join on all prefixes of each url, with the same result.
 
 Defined cases: scheme, credentials, port, query, fragment, letter case of the host, a trailing dot and empty segments
 don't matter; a url without a scheme is read from its host on; a null or blank url has no key and gets the default
-action; repeated rows are judged row by row; an empty table or list works; columns other than page_id and url
-are ignored.
+action; repeated rows are judged row by row; entries without a host are ignored; an empty table or list works; columns other
+than page_id and url are ignored.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from pathlib import Path
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+PARAMETERS = {"max_broadcast": 1_000_000, "default": "allow", "rules": str(Path(__file__).with_name("url_rules.txt"))}
+ENTRIES = "action string, entry string"
 
-PARAMETERS = {"max_broadcast": 1_000_000, "default": "allow"}
-#: The production list: spam hosts, unwanted sections, and exceptions inside them.
-ENTRIES: list[tuple[str, str]] = [
-    ("block", "casino-win.example.net"), ("block", "cheap-pills.example.net"), ("block", "spam-farm.example.org"),
-    ("allow", "www.spam-farm.example.org"), ("block", "www.spam-farm.example.org/en"), ("allow", "blog.casino-win.example.net/de"),
-    ("block", "casino-win.example.com"), ("block", "casino-win.example.org"), ("block", "cheap-pills.example.com"), ("block", "cheap-pills.example.org"),
-    ("block", "spam-farm.example.com"), ("block", "spam-farm.example.net"), ("block", "free-money.example"), ("block", "click-bait.example"),
-    ("block", "ads.example.com"), ("block", "ads.example.net"), ("block", "ads.example.org"), ("block", "tracker.example.com"), ("block", "tracker.example.net"),
-    ("allow", "tracker.example.com/docs"), ("block", "example.com/login"), ("block", "example.net/login"), ("block", "example.org/login"),
-    ("block", "thther.example.org/fr"), ("allow", "thther.example.org/fr/archive"), ("block", "therin.example.net"), ("allow", "therin.example.net/en"),
-    ("allow", "m.therin.example.net"), ("block", "m.therin.example.net/es"), ("block", "test"), ("block", "invalid"), ("block", "localhost"), ("allow", "docs.localhost"),
-]
-_SCHEME = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*://")
-
-
-def steps(url: str | None) -> list[str]:
-    """The trie steps of a url or an entry: reversed labels, then '/', then segments. Empty without a host."""
-    rest = re.split(r"[?#]", _SCHEME.sub("", (url or "").strip(" ")), maxsplit=1)[0]
-    host, _, path = rest.partition("/")
-    host = re.sub(r":[0-9]*$", "", host.rpartition("@")[2]).rstrip(".").lower()
-    return [*host.split(".")[::-1], "/", *[s for s in path.split("/") if s]] if host else []
-
-
-def key_of(entry: str) -> str:
-    found = steps(entry)
-    return " ".join(found[:-1] if found and found[-1] == "/" else found)
-
-
-def compiled(entries: Iterable[tuple[str, str]]) -> dict:
-    """Nested dicts; a node's action and key are under None."""
-    root: dict = {}
-    for action, entry in entries:
-        key = key_of(entry)
-        if not key:
-            continue
-        node = root
-        for step in key.split(" "):
-            node = node.setdefault(step, {})
-        if node.get(None, ("",))[0] != "block":
-            node[None] = (action, key)
-    return root
-
-
-def lookup(trie: dict, url: str | None) -> tuple[str, str] | None:
-    """Action and key of the deepest entry on the url's way."""
-    node, best = trie, None
-    for step in steps(url):
-        node = node.get(step)
-        if node is None:
-            break
-        best = node.get(None, best)
-    return best
-
-
-def _prefixes(url: Column) -> Column:
-    """All keys on a url's way, by built-in functions: what steps() gives, joined."""
-    rest = F.regexp_extract(F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"^[^?#]*", 0)
-    host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract(rest, r"^[^/]*", 0), r"^.*@", ""), r":[0-9]*$", ""), r"\.+$", ""))
-    path = F.filter(F.split(F.regexp_replace(rest, r"^[^/]*", ""), "/"), lambda s: s != "")
-    parts = F.concat(F.reverse(F.split(host, r"\.")), F.array(F.lit("/")), path)
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), " ")))
 
+def entries_of(path: str) -> list[tuple[str, str]]:
+    """(action, entry) of each line of a rules file that isn't a remark."""
+    with open(path, encoding="utf-8") as f:
+        return [tuple(line.split(maxsplit=1)) for line in map(str.strip, f) if line and line[0] != "#"]
 
-def judge(pages: DataFrame, entries: list[tuple[str, str]] = ENTRIES, p: dict = PARAMETERS) -> DataFrame:
-    """page_id, url, action, entry (the deciding entry's key, '' by default); one row per row of pages."""
-    if len(entries) > p["max_broadcast"]:
-        spark = pages.sparkSession
-        return judge_joined(pages, spark.createDataFrame(list(entries), "action string, entry string"), p)
-    shared = pages.sparkSession.sparkContext.broadcast(compiled(entries))
-    default = (p["default"], "")
 
-    @F.pandas_udf("struct<action:string,entry:string>")
-    def decide(urls: pd.Series) -> pd.DataFrame:
+def _parts(url: Column) -> tuple[Column, Column, Column]:
+    """Host, reversed labels and path segments of a url or an entry."""
+    rest = F.regexp_extract(F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"^[^?#]*", 0)
+    host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract(rest, r"^[^/]*", 0), r"^.*@", ""), r":[0-9]*$", ""), r"\.+$", ""))
+    return host, F.reverse(F.split(host, r"\.")), F.filter(F.split(F.regexp_replace(rest, r"^[^/]*", ""), "/"), lambda s: s != "")
+
+
+def steps(url: Column) -> Column:
+    """The trie steps of a url: reversed labels, '/', segments. Empty without a host."""
+    host, labels, path = _parts(url)
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(labels, F.array(F.lit("/")), path))
+
+
+def prefixes(url: Column) -> Column:
+    """depth and key of all keys on a url's way, the shortest first."""
+    host, labels, path = _parts(url)
+    whole, none = F.array_join(labels, "."), F.array().cast("array<struct<depth:int,key:string>>")
+    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(labels, 1, n), ".").alias("key")))
+    below = F.transform(F.sequence(F.lit(1), F.size(path)), lambda n: F.struct((F.size(labels) + 1 + n).alias("depth"), F.concat(whole, F.lit("/"), F.array_join(F.slice(path, 1, n), "/")).alias("key")))
+    return F.when(host == "", none).otherwise(F.concat(hosts, F.when(F.size(path) > 0, below).otherwise(none)))
+
+
+def keyed(entries: DataFrame) -> DataFrame:
+    """key, action of the entries (action, entry): one row a key."""
+    way = prefixes(F.col("entry"))
+    rows = entries.select("action", F.get(way, F.size(way) - 1)["key"].alias("key")).where("key is not null")
+    return rows.groupBy("key").agg(F.max("action").alias("action"))  # block after allow
+
+
+class Trie:
+    """Plain arrays: `edges` are node * words + word, in order, with their targets; `entry` is a node's key, -1 without."""
+
+    def __init__(self, keys: Iterable[tuple[str, str]]):
+        self.keys, self.actions = map(list, zip(*sorted(keys))) if keys else ([], [])
+        words: dict[str, int] = {}
+        children: dict[tuple[int, int], int] = {}
+        entry = [-1]
+        for k, key in enumerate(self.keys):
+            host, mark, path = key.partition("/")
+            node = 0
+            for step in host.split(".") + (["/", *path.split("/")] if mark else []):
+                edge = (node, words.setdefault(step, len(words)))
+                node = children.setdefault(edge, len(entry))
+                if node == len(entry):
+                    entry.append(-1)
+            entry[node] = k
+        self.words = list(words)
+        found = sorted((n * len(words) + w, t) for (n, w), t in children.items())
+        self.edges, self.targets = np.array([e for e, _ in found], np.int64), np.array([t for _, t in found], np.int64)
+        self.entry = np.array(entry, np.int64)
+
+    def lookup(self, ways: pa.ListArray) -> np.ndarray:
+        """Of each way the key of the deepest node that has one, -1 if none; all step down side by side."""
+        n = len(ways)
+        best, node = np.full(n, -1), np.zeros(n, np.int64)
+        word = pc.index_in(ways.flatten(), value_set=pa.array(self.words, pa.string())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = ways.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.cumsum(size) - size
+        going, depth = np.arange(n if len(self.edges) else 0), 0
+        while len(going := going[size[going] > depth]):
+            w = word[begin[going] + depth]
+            edge = node[going] * len(self.words) + w
+            at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+            ok = (self.edges[at] == edge) & (w >= 0)
+            going = going[ok]
+            node[going] = self.targets[at[ok]]
+            own = self.entry[node[going]]
+            best[going] = np.where(own >= 0, own, best[going])
+            depth += 1
+        return best
+
+
+def as_table(spark: SparkSession, entries: DataFrame | list[tuple[str, str]] | str) -> DataFrame:
+    if isinstance(entries, DataFrame):
+        return entries
+    return spark.createDataFrame(entries_of(entries) if isinstance(entries, str) else list(entries), ENTRIES)
+
+
+def judge(pages: DataFrame, entries: DataFrame | list[tuple[str, str]] | str = PARAMETERS["rules"], p: dict = PARAMETERS) -> DataFrame:
+    """page_id, url, action, entry (the deciding entry's key, '' by default); one row per row of pages. entries: a table, a list, or the name of a file."""
+    listed = keyed(as_table(pages.sparkSession, entries))
+    held = listed.limit(p["max_broadcast"] + 1).collect()  # one more than may be broadcast tells that there are too many
+    if len(held) > p["max_broadcast"]:
+        return judge_joined(pages, listed, p)
+    shared = pages.sparkSession.sparkContext.broadcast(Trie([(r.key, r.action) for r in held]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared.value
-        return pd.DataFrame([lookup(trie, u) or default for u in urls], columns=["action", "entry"])
+        actions, keys = pa.array([*trie.actions, p["default"]], pa.string()), pa.array([*trie.keys, ""], pa.string())
+        for b in batches:
+            best = trie.lookup(b.column("way"))
+            at = pa.array(np.where(best < 0, len(trie.keys), best))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), actions.take(at), keys.take(at)], ["page_id", "url", "action", "entry"])
 
-    return pages.select("page_id", "url").withColumn("d", decide(F.col("url").cast("string"))).select("page_id", "url", "d.action", "d.entry")
+    rows = pages.select("page_id", "url", steps(F.col("url").cast("string")).alias("way"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:2], StructField("action", StringType()), StructField("entry", StringType())]))
 
 
-def judge_joined(pages: DataFrame, entries: DataFrame, p: dict = PARAMETERS) -> DataFrame:
-    """judge() with the entries (action, entry) as a table of any size."""
-    keys = F.filter(_prefixes(F.col("entry")), lambda k: ~k.endswith(" /"))
-    key = F.get(keys, F.size(keys) - 1)
-    listed = entries.withColumn("key", key).where("key is not null").groupBy("key").agg(F.max("action").alias("action"))  # block after allow
+def judge_joined(pages: DataFrame, listed: DataFrame, p: dict = PARAMETERS) -> DataFrame:
+    """judge() with the keys (key, action; one row a key) as a table of any size."""
     urls = pages.select(F.col("url").cast("string").alias("u")).distinct()
-    found = urls.select("u", F.explode(_prefixes(F.col("u"))).alias("key")).join(listed, "key")
-    best = found.groupBy("u").agg(F.max(F.struct(F.size(F.split("key", " ")).alias("n"), "action", "key")).alias("b"))
+    found = urls.select("u", F.explode(prefixes(F.col("u"))).alias("k")).select("u", "k.depth", "k.key").join(listed, "key")
+    best = found.groupBy("u").agg(F.max(F.struct("depth", "action", "key")).alias("b"))
     rows = pages.select("page_id", "url").join(best, F.col("url").cast("string") == F.col("u"), "left")
     return rows.select("page_id", "url", F.coalesce("b.action", F.lit(p["default"])).alias("action"), F.coalesce("b.key", F.lit("")).alias("entry"))
 
 
-def oracle(entries: list[tuple[str, str]] = ENTRIES) -> str:
-    values = ", ".join(f"('{a}', '{key_of(e)}')" for a, e in entries)
+def oracle(entries: list[tuple[str, str]] | None = None) -> str:
+    values = ", ".join("('%s', '%s')" % (a, e.replace("'", "''")) for a, e in (entries_of(PARAMETERS["rules"]) if entries is None else entries))
     return rf"""
-WITH entries AS (SELECT key, max(action) AS action FROM (VALUES {values}) AS e(action, key) GROUP BY key),
-rest AS (SELECT page_id, url, row_number() OVER () AS n, regexp_extract(regexp_replace(trim(coalesce(url, ''), ' '), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^?#]*') AS rest FROM pages),
+WITH given AS (SELECT 'entry' AS kind, action, entry AS url, NULL::BIGINT AS page_id, row_number() OVER () AS n FROM (VALUES {values}) AS e(action, entry)
+  UNION ALL SELECT 'page', NULL, url, page_id, row_number() OVER () FROM pages),
+rest AS (SELECT *, regexp_extract(regexp_replace(trim(coalesce(url, ''), ' '), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^[^?#]*') AS rest FROM given),
 host AS (SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(rest, '^[^/]*'), '^.*@', ''), ':[0-9]*$', ''), '\.+$', '')) AS host,
   list_filter(string_split(regexp_replace(rest, '^[^/]*', ''), '/'), lambda s: s <> '') AS path FROM rest),
-parts AS (SELECT page_id, url, n, CASE WHEN host = '' THEN [] ELSE list_concat(list_concat(list_reverse(string_split(host, '.')), ['/']), path) END AS parts FROM host),
-keys AS (SELECT n, k, array_to_string(parts[1:k], ' ') AS key FROM (SELECT n, parts, unnest(range(1, len(parts) + 1)) AS k FROM parts)),
-best AS (SELECT n, arg_max(struct_pack(action := action, key := key), k) AS b FROM keys JOIN entries USING (key) GROUP BY n)
-SELECT page_id, url, coalesce(b.action, 'allow') AS action, coalesce(b.key, '') AS entry FROM parts LEFT JOIN best USING (n)
+ways AS (SELECT *, CASE WHEN host = '' THEN [] ELSE list_reverse(string_split(host, '.')) END AS labels FROM host),
+keys AS (SELECT kind, n, action, k, CASE WHEN k <= len(labels) THEN array_to_string(labels[1:k], '.') ELSE array_to_string(labels, '.') || '/' || array_to_string(path[1:k - len(labels)], '/') END AS key,
+  k = len(labels) + len(path) AS whole FROM (SELECT *, unnest(range(1, len(labels) + len(path) + 1)) AS k FROM ways WHERE len(labels) > 0)),
+entries AS (SELECT key, max(action) AS action FROM keys WHERE kind = 'entry' AND whole GROUP BY key),
+best AS (SELECT n, arg_max(struct_pack(action := e.action, key := key), k) AS b FROM keys JOIN entries e USING (key) WHERE kind = 'page' GROUP BY n)
+SELECT page_id, url, coalesce(b.action, 'allow') AS action, coalesce(b.key, '') AS entry FROM ways LEFT JOIN best USING (n) WHERE kind = 'page'
 """
