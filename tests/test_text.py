@@ -42,12 +42,30 @@ def test_sentence_ends(spark):
 
 
 def test_small_functions(spark):
-    assert values(spark, ["#AABBCC", "#11223344", "red", None], "t string", c=T.color(F.col("t"), "#ff000000")) == ["#ffaabbcc", "#11223344", "#ff000000", "#ff000000"]
+    assert values(spark, ["#AABBCC", "#11223344", "Red", "#1aF", "no", None], "t string", c=T.color(F.col("t"), "#ff000000")) == ["#ffaabbcc", "#11223344", "#ffff0000", "#ff11aaff", "#ff000000", "#ff000000"]
     assert values(spark, ["DE-at", "xx", "en"], "t string", c=T.language_name(F.col("t"))) == ["German", "xx", "English"]
-    got = values(spark, ["wohl=#00ff00:bold", "a=red", "bad", "=x"], "t string", c=T.highlight_spec(F.col("t")))
-    assert [tuple(g) if g else None for g in got] == [("wohl", "#00ff00", True), ("a", "red", False), None, None]
+    got = values(spark, ["wohl=#00ff00:bold", "a=red", "bad", "=x", "a=blue:BOLD", "a=nocolor", "a=", "a=red:thin"], "t string", c=T.highlight_spec(F.col("t")))
+    assert [tuple(g) if g else None for g in got] == [("wohl", "#00ff00", True), ("a", "red", False), None, None, ("a", "blue", True), None, None, None]
     assert values(spark, [0, 1, 3, 400, 512], "n int", p=T.next_power_of_two(F.col("n"))) == [1, 1, 4, 512, 512]
-    assert values(spark, ["A.XPROJ", "a.mp4"], "t string", p=T.is_project(F.col("t"))) == [True, False]
+    assert values(spark, ["A.TMPROJ", "a.mp4", "a.xproj"], "t string", p=T.is_project(F.col("t"))) == [True, False, False]
+    assert values(spark, ["A.TMPROJ", "a.xProj"], "t string", p=T.is_project(F.col("t"), "Xproj")) == [False, True]
+
+
+def test_language_score_is_that_of_word_by_word(spark):
+    import random
+    import re
+
+    rng = random.Random(2)
+    parts = [*T.GERMAN, *T.ENGLISH, "zeitung", "learning", "nation", "freiheit", "tür", "größe", "x", "was", "ich2", "der's", "ungx", "Ölung", "İst"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "-", ", ", "3", "_", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["", "ist", "İst IN"]
+    lows = values(spark, texts, "t string", t=F.lower(F.col("t")))
+    want = []
+    for low in lows:
+        words = [w for w in re.split(r"[\W\d_]+", low) if w]
+        de = sum((w in T.GERMAN) + 0.5 * bool(re.search("(ung|keit|heit|chen)$", w)) + 2 * bool(re.search("[äöüß]", w)) for w in words)
+        en = sum((w in T.ENGLISH) + 0.5 * bool(re.search("(ing|tion)$", w)) for w in words)
+        want.append((de - en) / (de + en) if de + en >= 1 else 0.0)
+    assert values(spark, texts, "t string", s=T.language_score(F.col("t"))) == want
 
 
 def test_subtitles(spark):
@@ -75,4 +93,10 @@ def test_wav(spark, tmp_path):
         w.writeframes(np.repeat(np.array([0, 16384, -16384, 0], np.int16), 2).tobytes())
     rows = audio.read(spark, f"{tmp_path}/*.wav", chunk=5).orderBy("chunk_idx").collect()
     assert [len(r.samples) for r in rows] == [5, 3] and abs(rows[0].samples[2] - 0.5) < 1e-6
+    with wave.open(str(tmp_path / "b.wav"), "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(3)
+        w.setframerate(16_000)
+        w.writeframes(b"".join(x.to_bytes(3, "little", signed=True) for x in (0, 1 << 22, -(1 << 22), -(1 << 23))))
+    assert audio.decode_wav((tmp_path / "b.wav").read_bytes()).tolist() == [0.0, 0.5, -0.5, -1.0]
     assert spark.range(1).select(audio.duration_ms(F.lit(8), F.lit(16_000)).alias("d")).first().d == 0

@@ -20,6 +20,15 @@ LANGUAGES = dict(
     x.split(":")
     for x in "ar:Arabic de:German en:English es:Spanish fr:French ha:Hausa ig:Igbo it:Italian ja:Japanese ko:Korean nl:Dutch pl:Polish pt:Portuguese ru:Russian tr:Turkish yo:Yoruba zh:Chinese".split()
 )
+#: The colors known by name; all others are written in digits.
+NAMED_COLORS = dict(
+    x.split(":")
+    for x in """aqua:#ff00ffff beige:#fff5f5dc black:#ff000000 blue:#ff0000ff brown:#ffa52a2a coral:#ffff7f50 crimson:#ffdc143c cyan:#ff00ffff darkblue:#ff00008b darkgray:#ffa9a9a9
+    darkgreen:#ff006400 darkgrey:#ffa9a9a9 darkorange:#ffff8c00 darkred:#ff8b0000 deeppink:#ffff1493 fuchsia:#ffff00ff gold:#ffffd700 gray:#ff808080 green:#ff008000 grey:#ff808080
+    hotpink:#ffff69b4 indigo:#ff4b0082 ivory:#fffffff0 khaki:#fff0e68c lavender:#ffe6e6fa lightblue:#ffadd8e6 lightgray:#ffd3d3d3 lightgreen:#ff90ee90 lightgrey:#ffd3d3d3 lime:#ff00ff00
+    magenta:#ffff00ff maroon:#ff800000 navy:#ff000080 olive:#ff808000 orange:#ffffa500 orchid:#ffda70d6 pink:#ffffc0cb plum:#ffdda0dd purple:#ff800080 red:#ffff0000 salmon:#fffa8072
+    silver:#ffc0c0c0 skyblue:#ff87ceeb tan:#ffd2b48c teal:#ff008080 tomato:#ffff6347 transparent:#00000000 turquoise:#ff40e0d0 violet:#ffee82ee white:#ffffffff yellow:#ffffff00""".split()
+)
 CLOSERS = "[\"'”’»)\\]}]+$"
 SPACE = r"(?U)\s+"
 STAMP = r"(?:(\d+):)?(?:(\d+):)?(\d+)[.,](\d+)"
@@ -66,16 +75,36 @@ def ends_sentence(token: Column, following: Column) -> Column:
     return F.coalesce(terminal & ~(dot & guarded) & ~lower_next, F.lit(False))
 
 
-def language_score(text: Column) -> Column:
-    """German 1 .. English -1, by stop words, umlauts and suffixes; 0 when there is little evidence."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda t: t != "")
+def one_of(words: list[str]) -> str:
+    """A pattern of the words that shares their beginnings, so that most places are left after a letter."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        parts = [c + pattern(below) for c, below in sorted(at.items()) if c]
+        if not parts:
+            return ""
+        body = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+        return (f"(?:{body})?" if "" in at else body) if parts else ""
+
+    return pattern(tree)
+
 
-    def weight(t: Column, listed: list[str], suffix: str, amount: float) -> Column:
-        return t.isin(listed).cast("double") + F.when(t.rlike(suffix), amount).otherwise(0.0)
+def language_score(text: Column) -> Column:
+    """German 1 .. English -1, by stop words, umlauts and suffixes; 0 when there is little evidence.
 
-    de = F.aggregate(words, F.lit(0.0), lambda s, t: s + weight(t, GERMAN, "(ung|keit|heit|chen)$", 0.5) + F.when(t.rlike("[äöüß]"), 2.0).otherwise(0.0))
-    en = F.aggregate(words, F.lit(0.0), lambda s, t: s + weight(t, ENGLISH, "(ing|tion)$", 0.5))
-    return F.when(de + en < 1, 0.0).otherwise(F.try_divide(de - en, de + en))
+    Words are runs of letters; each kind of evidence is one count of a pattern over the whole text, all in generated code."""
+    low = F.lower(text)
+    count = lambda pattern: F.regexp_count(low, F.lit(pattern)).cast("double")
+    whole = lambda words: count(rf"(?<!\p{{L}}){one_of(words)}(?!\p{{L}})")
+    de = whole(GERMAN) + 0.5 * count(r"(?:ung|keit|heit|chen)(?!\p{L})") + 2.0 * count(r"[äöüß]\p{L}*")
+    en = whole(ENGLISH) + 0.5 * count(r"(?:ing|tion)(?!\p{L})")
+    # no branches, so that each count is made once; + 0.0 turns -0.0 into 0.0
+    return (de - en) / F.greatest(de + en, F.lit(1.0)) * (de + en >= 1).cast("double") + 0.0
 
 
 def is_german(score: Column) -> Column:
@@ -122,21 +151,27 @@ def clock(ms: Column) -> Column:
     return F.concat(F.when(F.length(minutes) < 2, F.lpad(minutes, 2, "0")).otherwise(minutes), F.lit(":"), F.lpad((F.floor(t / 1000) % 60).cast("string"), 2, "0"), F.lit("."), (F.floor(t / 100) % 10).cast("string"))
 
 
-def color(text: Column, fallback: str) -> Column:
-    """#rrggbb or #aarrggbb as #aarrggbb, anything else as the fallback."""
+def known_color(text: Column) -> Column:
+    """#rgb, #rrggbb, #aarrggbb or a name of NAMED_COLORS as #aarrggbb; null for anything else."""
     low = F.lower(text)
-    return F.when(low.rlike("^#[0-9a-f]{8}$"), low).when(low.rlike("^#[0-9a-f]{6}$"), F.concat(F.lit("#ff"), F.substr(low, F.lit(2), F.lit(6)))).otherwise(fallback)
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in NAMED_COLORS.items() for x in pair]), low)
+    wide = F.regexp_replace(low, "^#(.)(.)(.)$", "#ff$1$1$2$2$3$3")
+    return F.when(low.rlike("^#[0-9a-f]{8}$"), low).when(low.rlike("^#[0-9a-f]{6}$"), F.concat(F.lit("#ff"), F.substr(low, F.lit(2), F.lit(6)))).when(low.rlike("^#[0-9a-f]{3}$"), wide).otherwise(named)
+
+
+def color(text: Column, fallback: str) -> Column:
+    return F.coalesce(known_color(text), F.lit(fallback))
 
 
 def highlight_spec(spec: Column) -> Column:
-    """word=color[:bold] as a struct; null when it isn't one."""
-    pattern = r"^([^=]+)=([^:=]+)(:bold)?$"
-    return F.when(spec.rlike(pattern), F.struct(F.regexp_extract(spec, pattern, 1).alias("word"), F.regexp_extract(spec, pattern, 2).alias("color"), (F.regexp_extract(spec, pattern, 3) != "").alias("bold")))
+    """word=color[:bold] as a struct; null when it isn't one, or there is no such color. Of several =, the first counts; bold in any case of letters."""
+    pattern = r"(?si)^([^=]+)=(.*?)(:bold)?$"
+    part = lambda k: F.regexp_extract(spec, pattern, k)
+    return F.when(spec.rlike(pattern) & known_color(part(2)).isNotNull(), F.struct(part(1).alias("word"), part(2).alias("color"), (part(3) != "").alias("bold")))
 
 
-def is_project(path: Column) -> Column:
-    """Does the file's extension end in proj?"""
-    return F.lower(path).rlike(r"\.[a-z0-9]*proj$")
+def is_project(path: Column, extension: str = "tmproj") -> Column:
+    return F.endswith(F.lower(path), F.lit(f".{extension.lower()}"))
 
 
 def mel(f: Column) -> Column:

@@ -71,7 +71,9 @@ def even(n: Column) -> Column:
 
 
 def x_to_time(x: Column, width: Column, duration_ms: Column) -> Column:
-    return F.when(width <= 0, 0).otherwise(F.least(F.greatest(F.floor(x * duration_ms / width), F.lit(0)), duration_ms))
+    """The time at a pixel of a timeline, which is a pixel wide at least; pixels outside are its ends."""
+    share = F.least(F.greatest(x.cast("double") / F.greatest(width, F.lit(1)), F.lit(0.0)), F.lit(1.0))
+    return F.floor(share * duration_ms).cast("bigint")
 
 
 def time_to_x(ms: Column, width: Column, duration_ms: Column) -> Column:

@@ -29,8 +29,10 @@ def active_segments(points: DataFrame, segments: DataFrame, transition: int = TR
 
 
 def visible_overlays(points: DataFrame, overlays: DataFrame, transition: int = TRANSITION) -> DataFrame:
-    """doc_id, ms, overlay_idx, on_top, alpha. A document has a handful of overlays, so the equality key is enough."""
-    rows = points.select("doc_id", "ms").join(overlays.select("doc_id", "overlay_idx", "on_top", "enabled", "start_ms", "end_ms"), "doc_id")
+    """doc_id, ms, overlay_idx, on_top, alpha. Overlays with an end meet the points near them in time; those without are seen at all points from their start on."""
+    points, half = points.select("doc_id", "ms"), max(0, transition + 1) // 2
+    kinds = overlays.where("enabled").select("doc_id", "overlay_idx", "on_top", "enabled", "start_ms", "end_ms")
+    rows = covering(points, kinds.where("end_ms > 0"), F.lit(half), F.lit(half)).unionByName(points.join(kinds.where("end_ms <= 0"), "doc_id").where(F.col("ms") >= F.col("start_ms") - half))
     alpha = M.overlay_opacity(F.col("ms"), F.col("enabled"), F.col("start_ms"), F.col("end_ms"), transition)
     return rows.select("doc_id", "ms", "overlay_idx", "on_top", alpha.alias("alpha")).where(F.col("alpha") > VISIBLE)
 
@@ -42,10 +44,15 @@ def frame_clock(durations: DataFrame, fps: int) -> DataFrame:
 
 
 def frame_states(points: DataFrame, segments: DataFrame, scenes: DataFrame, overlays: DataFrame, transition: int = TRANSITION) -> DataFrame:
-    """points with the state key: scene, captions with their opacity in 8 bits, overlays with theirs."""
-    texts = lambda rows, i: rows.groupBy("doc_id", "ms").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(i).alias("i"), M.alpha_byte(F.col("alpha")).alias("a")))), lambda x: F.concat_ws(":", x.i.cast("string"), x.a.cast("string"))), ",").alias(i))
-    out = scene_at(points, scenes).join(texts(active_segments(points, segments, transition), "seg_idx"), ["doc_id", "ms"], "left").join(texts(visible_overlays(points, overlays, transition), "overlay_idx"), ["doc_id", "ms"], "left")
-    return out.withColumn("state", F.concat_ws("|", F.col("scene_idx").cast("string"), F.coalesce("seg_idx", F.lit("")), F.coalesce("overlay_idx", F.lit("")))).select(*points.columns, "state")
+    """points with the state key: scene, captions with their opacity in 8 bits, overlays with theirs. What is seen is one union, grouped once."""
+    at = points.select("doc_id", "ms")
+    item = lambda kind, i, a=0: (F.lit(kind).alias("kind"), F.col(i).cast("int").alias("i") if isinstance(i, str) else F.lit(i).alias("i"), F.lit(a).cast("int").alias("a"))
+    byte = M.alpha_byte(F.col("alpha"))
+    seen = at.select("doc_id", "ms", *item(0, -1)).unionAll(covering(at, scenes.select("doc_id", "scene_idx", "start_ms", "end_ms")).select("doc_id", "ms", *item(0, "scene_idx")))
+    seen = seen.unionAll(active_segments(at, segments, transition).select("doc_id", "ms", *item(1, "seg_idx", byte))).unionAll(visible_overlays(at, overlays, transition).select("doc_id", "ms", *item(2, "overlay_idx", byte)))
+    text = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("i", "a")))), lambda x: F.concat_ws(":", x.i.cast("string"), x.a.cast("string"))), ",")
+    states = seen.groupBy("doc_id", "ms").agg(F.concat_ws("|", F.max(F.when(F.col("kind") == 0, F.col("i"))).cast("string"), text(1), text(2)).alias("state"))
+    return points.join(states, ["doc_id", "ms"]).select(*points.columns, "state")
 
 
 def changed_frames(states: DataFrame) -> DataFrame:

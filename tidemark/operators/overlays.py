@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.schema import STYLE_DEFAULTS
+from tidemark.operators.running import before
+from tidemark.schema import OVERLAY_DEFAULTS, STYLE_DEFAULTS
 
-OVERLAY_DEFAULTS = {"name": "'Overlay'", "is_image": "true", "image_path": "''", "text": "''", "opacity": "1.0D", "keep_aspect": "true", "on_top": "false", "enabled": "true", "start_ms": "0L", "end_ms": "0L"}
 #: Boxes (x, y, w, h) of the presets on a wide and on an upright canvas.
 BOXES = {
     "Logo": ((0.02, 0.86, 0.20, 0.12), (0.03, 0.88, 0.28, 0.09)),
@@ -16,9 +16,13 @@ BOXES = {
     "Title": ((0.0, 0.0, 1.0, 0.085), (0.0, 0.0, 1.0, 0.06)),
     "": ((0.35, 0.40, 0.30, 0.20), (0.35, 0.40, 0.30, 0.20)),
 }
+TRANSLATION_BOXES = {"upright": (0.05, 0.71, 0.90, 0.09), "wide": (0.06, 0.78, 0.88, 0.11)}
 SPEAKER_BOXES = {"upright": (0.05, 0.56, 0.90, 0.13), "even": (0.41, 0.44, 0.46, 0.22), "odd": (0.04, 0.50, 0.50, 0.16)}
 #: Least and greatest value of each numeric style field.
-DOMAINS = {"box_opacity": (0, 1), "font_weight": (100, 900), "font_size": (0.005, 0.5), "line_spacing": (0.5, 3), "corner_radius": (0, 0.5)}
+DOMAINS = {
+    "box.x": (-1, 2), "box.y": (-1, 2), "box.w": (0.02, 2), "box.h": (0.02, 2), "box_opacity": (0, 1), "corner_radius": (0, 0.20), "padding_x": (0, 0.20), "padding_y": (0, 0.20),
+    "font_size": (0.005, 0.40), "font_weight": (100, 900), "line_spacing": (0.7, 2.5), "shadow_offset": (0, 0.05), "outline_width": (0, 0.03),
+}
 
 
 def box(x: float, y: float, w: float, h: float) -> Column:
@@ -63,6 +67,12 @@ def speaker_layout(rows: DataFrame, upright: Column) -> DataFrame:
     return rows.withColumn("style", F.col("style").withField("box", F.when(upright, box(*SPEAKER_BOXES["upright"])).otherwise(corner)))
 
 
+def translation_layout(settings: DataFrame, upright: Column) -> DataFrame:
+    """Settings rows with the default box of the translation."""
+    own = F.when(upright, box(*TRANSLATION_BOXES["upright"])).otherwise(box(*TRANSLATION_BOXES["wide"]))
+    return settings.withColumn("translation_style", F.col("translation_style").withField("box", own))
+
+
 def default_speakers(docs: DataFrame) -> DataFrame:
     """Two speakers a document."""
     rows = []
@@ -71,11 +81,15 @@ def default_speakers(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(F.array(*rows)).alias("s")).select("doc_id", "s.*")
 
 
-def add_speaker(speakers: DataFrame) -> DataFrame:
-    """One more speaker a document: its last one's look, a little lower."""
+def add_speaker(speakers: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """One more speaker a document: its last one's look, a little lower. Those of docs that have none get the first default one like that."""
     last = speakers.groupBy("doc_id").agg(F.max_by(F.struct("tint", "style"), "speaker_id").alias("l"), F.count(F.lit(1)).cast("int").alias("n"))
     lower = F.col("l.style").withField("box", F.col("l.style.box").withField("y", F.least(F.lit(0.90), F.col("l.style.box.y") + 0.06)))
-    return speakers.unionByName(last.select("doc_id", F.col("n").alias("speaker_id"), F.concat(F.lit("Speaker "), (F.col("n") + 1).cast("string")).alias("name"), F.col("l.tint").alias("tint"), lower.alias("style")))
+    out = speakers.unionByName(last.select("doc_id", F.col("n").alias("speaker_id"), F.concat(F.lit("Speaker "), (F.col("n") + 1).cast("string")).alias("name"), F.col("l.tint").alias("tint"), lower.alias("style")))
+    if docs is None:
+        return out
+    first = default_speakers(docs.select("doc_id").distinct().join(speakers.select("doc_id").distinct(), "doc_id", "left_anti")).where("speaker_id = 0")
+    return out.unionByName(first.withColumn("style", F.col("style").withField("box", F.col("style.box").withField("y", F.least(F.lit(0.90), F.col("style.box.y") + 0.06)))))
 
 
 def whole_video(overlays: DataFrame, which: Column) -> DataFrame:
@@ -98,7 +112,7 @@ def edit(overlays: DataFrame, which: Column, **fields: Column) -> DataFrame:
 
 def style_problems(rows: DataFrame) -> DataFrame:
     """rows with the names of style fields that are out of their domain."""
-    bad = [F.when(~F.col(f"style.{n}").between(lo, hi), F.lit(n)) for n, (lo, hi) in DOMAINS.items()]
+    bad = [F.when(~F.col(f"style.{n}").between(lo, hi), F.lit(n)) for n, (lo, hi) in DOMAINS.items()]  # bounds belong to the domain
     return rows.withColumn("problems", F.filter(F.array(*bad), lambda x: x.isNotNull()))
 
 
@@ -109,18 +123,24 @@ def ensure_highlight(highlights: DataFrame, words: DataFrame, color: str = "#ff1
     return highlights.unionByName(new.join(have, ["doc_id", "word"], "left_anti").select("doc_id", "word", F.lit(color).alias("color"), F.lit(False).alias("bold")))
 
 
-def part_list(parts: DataFrame) -> DataFrame:
+def part_list(parts: DataFrame, extension: str = "tmproj") -> DataFrame:
     """part_idx, label of parts (part_idx, path), numbered in order."""
-    place = F.row_number().over(Window.orderBy("part_idx"))  # a list that someone made by hand
-    kind = F.when(T.is_project(F.col("path")), "project").otherwise("video")
-    return parts.select("part_idx", F.concat(place.cast("string"), F.lit(". "), F.regexp_extract("path", r"[^/\\]*$", 0), F.lit(" ["), kind, F.lit("]")).alias("label"))
+    kind = F.when(T.is_project(F.col("path"), extension), "project").otherwise("video")
+    return before(parts, "part_idx", F.lit(1)).select("part_idx", F.concat((F.col("before") + 1).cast("string"), F.lit(". "), F.regexp_extract("path", r"[^/\\]*$", 0), F.lit(" ["), kind, F.lit("]")).alias("label"))
 
 
 def move_part(parts: DataFrame, at: int, delta: int) -> DataFrame:
     """The part at a place swapped with the one delta places on; unchanged where there is none."""
     to = at + delta
-    both = F.count_if(F.col("part_idx").isin([at, to])).over(Window.partitionBy()) == 2
-    return parts.withColumn("part_idx", F.when(both & (F.col("part_idx") == at), to).when(both & (F.col("part_idx") == to), at).otherwise(F.col("part_idx")))
+    there = F.broadcast(parts.agg((F.count_if(F.col("part_idx").isin([at, to])) == 2).alias("__both")))  # one row
+    both = F.col("__both")
+    return parts.crossJoin(there).withColumn("part_idx", F.when(both & (F.col("part_idx") == at), to).when(both & (F.col("part_idx") == to), at).otherwise(F.col("part_idx"))).drop("__both")
+
+
+def without_parts(parts: DataFrame, which: Column) -> DataFrame:
+    """The parts but those `which`, renumbered in order from 0."""
+    left = before(parts.where(~F.coalesce(which, F.lit(False))), "part_idx", F.lit(1))
+    return left.withColumn("part_idx", F.col("before").cast(dict(parts.dtypes)["part_idx"])).select(*parts.columns)
 
 
 def part_problems(spark: SparkSession, paths: list[str], output: str) -> list[str]:

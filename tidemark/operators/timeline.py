@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators.running import before
 
 
 def normalise(rows: DataFrame, idx: str = "seg_idx", trim: bool = True) -> DataFrame:
@@ -48,6 +49,12 @@ def stretch(scenes: DataFrame, which: F.Column, duration: int) -> DataFrame:
     return scenes.withColumn("start_ms", F.when(which, 0).otherwise(F.col("start_ms")).cast("bigint")).withColumn("end_ms", F.when(which, duration).otherwise(F.col("end_ms")).cast("bigint"))
 
 
+def without_rows(rows: DataFrame, which: F.Column, idx: str = "scene_idx") -> DataFrame:
+    """The rows of each document but those `which`, renumbered in order."""
+    left = rows.where(~F.coalesce(which, F.lit(False)))
+    return left.withColumn(idx, (F.row_number().over(Window.partitionBy("doc_id").orderBy(idx)) - 1).cast(dict(rows.dtypes)[idx]))
+
+
 def assign_speaker(segments: DataFrame, rows: DataFrame, speaker_id: int) -> DataFrame:
     """The listed rows (doc_id, seg_idx) get the speaker, without doubt."""
     marked = segments.join(rows.select("doc_id", "seg_idx", F.lit(True).alias("__hit")).distinct(), ["doc_id", "seg_idx"], "left")
@@ -80,10 +87,8 @@ def extend_speakers(speakers: DataFrame, counts: DataFrame) -> DataFrame:
 
 def stitch(parts: DataFrame) -> DataFrame:
     """Rows of parts (part_idx, duration_ms and row columns) on one timeline: each part begins where the one before ended."""
-    spans = parts.groupBy("part_idx").agg(F.max("duration_ms").alias("__d"))
-    # parts are few: a list that someone ordered by hand
-    spans = spans.withColumn("offset_ms", F.coalesce(F.sum("__d").over(Window.orderBy("part_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")).drop("__d")
-    rows = parts.join(F.broadcast(spans), "part_idx")
+    spans = before(parts.groupBy("part_idx").agg(F.max("duration_ms").alias("__d")), "part_idx", F.col("__d")).select("part_idx", F.col("before").alias("offset_ms"))
+    rows = parts.join(spans, "part_idx")
     return rows.withColumn("start_ms", F.col("start_ms") + F.col("offset_ms")).withColumn("end_ms", F.col("end_ms") + F.col("offset_ms"))
 
 
@@ -118,3 +123,10 @@ def duration(segments: DataFrame, scenes: DataFrame, audio: DataFrame | None = N
     if audio is not None:
         ends = ends.unionByName(audio.select("doc_id", F.col("audio_ms").alias("t")))
     return ends.groupBy("doc_id").agg(F.greatest(F.max("t"), F.lit(least)).cast("bigint").alias("duration_ms"))
+
+
+def export_duration(segments: DataFrame, scenes: DataFrame, audio: DataFrame, width: F.Column | int = 2, height: F.Column | int = 2) -> DataFrame:
+    """doc_id, duration_ms, error: what an export would last; documents of audio (doc_id, audio_ms) without a length, or with a canvas under 2 pixels (even sides), have an error."""
+    found = duration(segments, scenes, audio, least=0)
+    small = (F.lit(width) < 2) | (F.lit(height) < 2)
+    return found.withColumn("error", F.when(small, "the canvas is too small").when(F.col("duration_ms") <= 0, "there is nothing to render").otherwise(""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,8 @@ from tidemark.functions import text as T
 
 MAX_GAP = 4000
 COLLAPSE_GAP = 250
+FAILED = "some lines could not be translated"
+NONE_LEFT = "every line has a translation"
 MIXED = "A line and its translation have different speakers."
 
 
@@ -98,8 +101,43 @@ def parse_reply(reply, n):  # noqa: ANN001, ANN201
     return F.when((F.size(body) == n) & (n > 0), F.transform(body, lambda s: F.trim(F.coalesce(s, F.lit("")))))
 
 
+def reply_lines(reply: str, n: int) -> list[str]:
+    """What parse_reply finds, outside of Spark; an error where that is null."""
+    try:
+        found = json.loads(reply)
+    except ValueError:
+        try:
+            found = json.loads(reply[reply.index("{") : reply.rindex("}") + 1])
+        except ValueError:
+            found = None
+    found = found.get("translations") if isinstance(found, dict) else found
+    if not isinstance(found, list) or not found:
+        raise ValueError("the reply has no list of translations")
+    if len(found) != n:
+        raise ValueError(f"the reply has {len(found)} translations for {n} lines")
+    return [x.strip() if isinstance(x, str) else "" for x in found]
+
+
+def batch_call(ask: Callable[[str], str], request: Callable[[list[str]], str] = json.dumps) -> Callable[[list[str]], list[str]]:
+    """A call for translate() from a service: ask(request(lines)) gives a reply in text, which has to hold as many strings."""
+    return lambda lines: reply_lines(ask(request(lines)), len(lines))
+
+
 def translate(segments: DataFrame, call: Callable[[list[str]], list[str]], batch: int = 20, overwrite: bool = False) -> DataFrame:
     """segments with translations by call(lines), `batch` lines a call; a batch that fails, or returns another number, is tried line by line; lines that fail stay as they are."""
+    return translated(segments, call, batch, overwrite).select(*segments.columns)
+
+
+def translation_report(rows: DataFrame) -> DataFrame:
+    """doc_id, pending, translated, skipped, failed, warning, error of what translated() gives."""
+    n = lambda *what: F.count_if(F.col("outcome").isin(*what))
+    found = rows.groupBy("doc_id").agg(n("translated", "failed").alias("pending"), n("translated").alias("translated"), n("skipped").alias("skipped"), n("failed").alias("failed"))
+    failed = F.col("failed") > 0
+    return found.withColumn("warning", F.when(F.col("pending") == 0, NONE_LEFT).when(failed & (F.col("translated") > 0), FAILED).otherwise("")).withColumn("error", F.when(failed & (F.col("translated") == 0), "no line could be translated").otherwise(""))
+
+
+def translated(segments: DataFrame, call: Callable[[list[str]], list[str]], batch: int = 20, overwrite: bool = False) -> DataFrame:
+    """What translate() gives, with `outcome`: translated, failed (no answer, or an empty one), skipped (has a translation) or '' (nothing to translate)."""
     kind = "doc_id bigint, seg_idx int, new string"
     todo = pending(segments, batch, overwrite).groupBy("doc_id", "batch_no").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))).alias("lines"))
 
@@ -124,4 +162,7 @@ def translate(segments: DataFrame, call: Callable[[list[str]], list[str]], batch
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int32(), pa.string()))], ["doc_id", "seg_idx", "new"])
 
     new = todo.select("doc_id", "lines").mapInArrow(run, kind)
-    return segments.join(new, ["doc_id", "seg_idx"], "left").withColumn("translation", F.coalesce("new", "translation")).select(*segments.columns)
+    new = new.select("doc_id", "seg_idx", F.struct(F.when(F.col("new") != "", F.col("new")).alias("t")).alias("asked"))
+    out = segments.join(new, ["doc_id", "seg_idx"], "left")
+    outcome = F.when(F.col("asked.t").isNotNull(), "translated").when(F.col("asked").isNotNull(), "failed").when((F.trim(T.collapse(F.col("text"))) != "") & (F.col("translation") != ""), "skipped").otherwise("")
+    return out.withColumn("outcome", outcome).withColumn("translation", F.coalesce("asked.t", "translation")).select(*segments.columns, "outcome")

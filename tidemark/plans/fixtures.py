@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import segments as S
+from tidemark.operators.running import before
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +36,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of German and English lines: groups of two documents of each, 2 s a line."""
     docs = table(spark, sf_dir, "documents").where("lang in ('de', 'en')")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1  # of an id that is unique
-    rows = docs.select("lang", F.substr("text", F.lit(1), F.lit(200)).alias("text"), rank.alias("r")).select("lang", "text", F.expr("cast(r div 2 as bigint)").alias("doc_id"), (F.col("r") % 2).alias("k"))
+    rows = docs.select("lang", F.substr("text", F.lit(1), F.lit(200)).alias("text"), "doc_id")
+    rows = before(rows, "doc_id", F.lit(1), ["lang"]).withColumn("r", F.col("before")).select("lang", "text", F.expr("cast(r div 2 as bigint)").alias("doc_id"), (F.col("r") % 2).alias("k"))
     full = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n = 4").select("doc_id")
     de = F.col("lang") == "de"
     seg = F.when(F.col("doc_id") % 2 == 0, 2 * F.col("k") + F.when(de, 0).otherwise(1)).otherwise(F.col("k") + F.when(de, 0).otherwise(2)).cast("int")

@@ -14,6 +14,7 @@ from tidemark.operators import speakers as P
 from tidemark.operators import timeline as L
 from tidemark.operators import translations as R
 from tidemark.operators import vectors as E
+from tidemark.operators.lineage import cut
 from tidemark.plans import fixtures as X
 from tidemark.plans.captions import MERGED_SQL
 from tidemark.sources import project, subtitles
@@ -105,12 +106,12 @@ def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(*SEGS, SCENES, "SELECT * FROM scenes")
 def scene_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scenes(X.segments(spark, sf_dir))
+    return scenes(cut(X.segments(spark, sf_dir)))
 
 
 @query(*SEGS, "SELECT s.doc_id, seg_idx, start_ms + o AS start_ms, end_ms + o AS end_ms FROM segs s JOIN (SELECT doc_id, coalesce(sum(d) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM lengths) p ON s.doc_id = p.doc_id")
 def stitch_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.segments(spark, sf_dir)
+    rows = cut(X.segments(spark, sf_dir))
     parts = rows.join(lengths(rows), "doc_id").withColumn("part_idx", F.col("doc_id"))
     return L.stitch(parts).select("doc_id", "seg_idx", "start_ms", "end_ms")
 
@@ -131,19 +132,19 @@ def edit_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- interval joins and frames ----
 @query(*SEGS, POINTS, "SELECT p.doc_id, ms, coalesce(max(seg_idx), -1)::INTEGER AS seg_idx FROM points p LEFT JOIN segs s ON s.doc_id = p.doc_id AND s.start_ms <= ms AND ms < s.end_ms GROUP BY p.doc_id, ms")
 def segment_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.segments(spark, sf_dir)
+    rows = cut(X.segments(spark, sf_dir))
     return J.segment_at(points(rows), rows)
 
 
 @query(*SEGS, POINTS, SCENES, "SELECT p.doc_id, ms, coalesce(max(scene_idx), -1)::INTEGER AS scene_idx FROM points p LEFT JOIN scenes s ON s.doc_id = p.doc_id AND s.start_ms <= ms AND ms < s.end_ms GROUP BY p.doc_id, ms")
 def scene_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.segments(spark, sf_dir)
+    rows = cut(X.segments(spark, sf_dir))
     return J.scene_at(points(rows), scenes(rows))
 
 
 @query(*SEGS, POINTS, ACTIVE, "SELECT doc_id, ms, seg_idx, round(alpha, 9) AS alpha FROM active")
 def active_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.segments(spark, sf_dir)
+    rows = cut(X.segments(spark, sf_dir))
     return V.active_segments(points(rows), rows).withColumn("alpha", F.round("alpha", 9))
 
 
@@ -157,14 +158,14 @@ FRAMES = "points AS (SELECT doc_id, f * 1000 // 5 AS ms FROM (SELECT doc_id, unn
 
 @query(*SEGS, FRAMES, SCENES, OVERLAYS, ACTIVE, SHOWN, STATES, "SELECT doc_id, ms, state FROM (SELECT *, lag(state) OVER (PARTITION BY doc_id ORDER BY ms) AS p FROM states) WHERE p IS NULL OR p <> state")
 def frame_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.segments(spark, sf_dir)
+    rows = cut(X.segments(spark, sf_dir))
     clock = V.frame_clock(lengths(rows), 5).select("doc_id", "ms")
     return V.changed_frames(V.frame_states(clock, rows, scenes(rows), overlays(rows)))
 
 
 @query(*SEGS, POINTS, SCENES, OVERLAYS, ACTIVE, SHOWN, "SELECT doc_id, ms, 2 AS layer, seg_idx AS item, round(alpha, 9) AS alpha FROM active UNION ALL SELECT doc_id, ms, CASE WHEN on_top THEN 4 ELSE 1 END, overlay_idx, round(alpha, 9) FROM shown UNION ALL SELECT p.doc_id, ms, 0, max(scene_idx), 1.0 FROM points p JOIN scenes s ON s.doc_id = p.doc_id AND s.start_ms <= ms AND ms < s.end_ms GROUP BY p.doc_id, ms")
 def draw_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.segments(spark, sf_dir)
+    rows = cut(X.segments(spark, sf_dir))
     return V.draw_plan(points(rows), rows, scenes(rows), overlays(rows)).withColumn("alpha", F.round("alpha", 9))
 
 
@@ -226,7 +227,7 @@ votes AS (SELECT n.doc_id, n.seg_idx, coalesce(r.label, n.label)::INTEGER AS lab
 
 @query(*SEGS, WINDOWS, VOTES, "SELECT doc_id, seg_idx, label, round(confidence, 9) AS confidence FROM votes")
 def segment_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.segments(spark, sf_dir)
+    rows = cut(X.segments(spark, sf_dir))
     return P.segment_votes(rows, windows(rows)).withColumn("confidence", F.round("confidence", 9))
 
 
@@ -241,7 +242,7 @@ ASSIGNMENT = f"""SELECT doc_id, seg_idx, speaker_id, CASE WHEN known AND abs(sco
 
 @query(*SEGS, WINDOWS, VOTES, *SEG_SCORES, ASSIGNED, ASSIGNMENT)
 def assign_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.segments(spark, sf_dir)
+    rows = cut(X.segments(spark, sf_dir))
     return P.assign(rows, P.segment_votes(rows, windows(rows))).select("doc_id", "seg_idx", "speaker_id", "review_reason")
 
 
@@ -264,7 +265,7 @@ both_ AS (SELECT s.doc_id, s.seg_idx, 0 AS k, start_ms, end_ms, text, speaker_id
 
 @query(*SEGS, WINDOWS, SPLIT, "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY seg_idx, k) - 1)::INTEGER AS seg_idx, start_ms, end_ms, text, speaker_id FROM both_")
 def split_on_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.segments(spark, sf_dir)
+    rows = cut(X.segments(spark, sf_dir))
     return P.split_on_change(rows, S.words_from_cues(X.cues(spark, sf_dir)), windows(rows)).select("doc_id", "seg_idx", "start_ms", "end_ms", "text", "speaker_id")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import captions, displays, timelines
+from tidemark.plans import captions, displays, edits, timelines
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _family in (captions, timelines, displays):
+for _family in (captions, timelines, displays, edits):
     QUERIES |= _family.QUERIES
     ORACLE_SQL |= _family.ORACLE_SQL

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 
 def decode_wav(content: bytes, rate: int = 16_000) -> np.ndarray:
-    """Mono float32 at the rate, by linear interpolation."""
+    """Mono float32 at the rate, by linear interpolation; samples of 8, 16, 24 or 32 bits."""
     with wave.open(io.BytesIO(content)) as w:
         width, channels, own, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
     kinds = {1: (np.uint8, 128, 128), 2: (np.int16, 0, 32768), 4: (np.int32, 0, 1 << 31)}
-    kind, zero, scale = kinds[width]
+    if width == 3:  # as the upper bytes of 32 bits
+        raw = np.pad(np.frombuffer(raw, np.uint8).reshape(-1, 3), ((0, 0), (1, 0))).tobytes()
+    kind, zero, scale = kinds[4 if width == 3 else width]
     x = ((np.frombuffer(raw, kind).astype(np.float64) - zero) / scale).reshape(-1, channels).mean(axis=1)
     if own != rate and len(x):
         x = np.interp(np.arange(int(len(x) * rate / own)) * own / rate, np.arange(len(x)), x)
