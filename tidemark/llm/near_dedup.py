@@ -1,15 +1,18 @@
 """SimHash near-dedup by the generalised pigeonhole principle.
 
 Fingerprint: 128 signs of the sum of word hashes weighted by log(1 + count); words are the lower-cased
-white-space tokens of the whole text without the marks .,;:?" (other symbols count: a text and its
-marked-up or shouted copy are different). Two documents are near duplicates when the first 64 bits differ in at
+white-space tokens of the whole text without the marks .,;:?" (so a shouted copy is an equal text). Other symbols are
+part of their words, but one that stands alone counts once, however often: rows of rulers, bullets or
+emphasis marks would else outweigh the words. Two documents are near duplicates when the first 64 bits differ in at
 most `radius` places and all 128 in at most `radius_full`.
 
 Search: the 64 bits are split into groups of bits that correlate; group i gets a threshold t_i with
 sum(t_i + 1) = radius + 1, so that any pair within the radius is within t_i in some group. Thresholds
 are unequal: dynamic programming picks those of least cost, from the number of candidate pairs at each
 distance in each group, which the XOR-autocorrelation of the group's value counts over all documents
-gives exactly. Half of t_i is enumerated on either side of an equi-join, pairs are verified in the join
+gives exactly; for a group of more than `EXACT_BITS` bits it is estimated from those of the group's parts, as if these were
+independent. The wider the keys, the fewer pairs meet and the more values each side has to list, so the number of groups goes
+down as documents grow in number, to two of 32 bits: the programme's costs decide. Half of t_i is enumerated on either side of an equi-join, pairs are verified in the join
 condition. Whatever the grouping and thresholds, the result is the exact one.
 
 Groups are connected components of the pairs; the smallest doc_id of each stays.
@@ -17,7 +20,7 @@ Groups are connected components of the pairs; the smallest doc_id of each stays.
 Defined cases: a null text, or one without words, is a group of its own; rows with one doc_id are one
 document (its smallest fingerprint counts, its smallest text stays); rows with a null doc_id are absent
 from `groups` and untouched by `keep_one`; equal texts are always in one group; an empty table gives an
-empty result; other columns are ignored by `groups` and returned untouched by `keep_one`.
+empty result; other columns are ignored by `groups` and returned untouched by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BoundedCache, cut
+from tidemark.llm.common import BoundedCache, cut, numbered
 
 PARAMETERS = {"radius": 9, "radius_full": 24}
 BITS = 64
+EXACT_BITS = 20  # 2^20 counts at most go to the driver
 _SYMBOLS = frozenset(string.punctuation)  # as words of their own they count once
 
 
@@ -170,7 +174,7 @@ def allocate(distances: list[np.ndarray], rows: int, radius: int, row_cost: floa
     for i in range(len(distances)):
         nxt: dict[int, tuple[float, list[int]]] = {}
         for used, (c, ts) in best.items():
-            for t in range(-1, min(radius, len(distances[i]) - 1, 6) + 1):
+            for t in range(-1, min(radius, len(distances[i]) - 1) + 1):
                 u = used + t + 1
                 if u <= radius + 1 and ((v := c + cost(i, t)) < nxt.get(u, (float("inf"), []))[0]):
                     nxt[u] = (v, [*ts, t])
@@ -194,16 +198,21 @@ def _flips(bits: list[int], r: int) -> list[int]:
 
 def plan(sigs: DataFrame, n: int, radius: int) -> list[tuple[list[int], int]]:
     """Bit groups and their thresholds for n distinct fingerprints."""
-    m = max(3, ceil(BITS / min(22.0, max(8.0, log2(max(n, 2)) - 2))))
+    m = max(2, ceil(BITS / min(32.0, max(8.0, log2(max(n, 2)) - 2))))
     groups = grouped_bits(bit_correlations(sigs), m)
-    distances = []
-    for bits in groups:
-        value = sum((F.shiftleft(F.shiftrightunsigned("hi", 63 - b).bitwiseAND(F.lit(1).cast("long")), k) for k, b in enumerate(bits)), F.lit(0).cast("long"))
-        found = sigs.groupBy(value.alias("v")).count().toPandas()  # at most 2^22 values
-        counts = np.zeros(1 << len(bits))
-        counts[found["v"].to_numpy(np.int64)] = found["count"].to_numpy()
-        distances.append(pairs_by_distance(counts))
-    return list(zip(groups, allocate(distances, n, radius)))
+    return list(zip(groups, allocate([_distances(sigs, bits, n) for bits in groups], n, radius)))
+
+
+def _distances(sigs: DataFrame, bits: list[int], n: int) -> np.ndarray:
+    """pairs_by_distance of the values of some bits."""
+    if len(bits) > EXACT_BITS:
+        half = len(bits) // 2
+        return np.convolve(_distances(sigs, bits[:half], n), _distances(sigs, bits[half:], n)) / max(n, 1) ** 2
+    value = sum((F.shiftleft(F.shiftrightunsigned("hi", 63 - b).bitwiseAND(F.lit(1).cast("long")), k) for k, b in enumerate(bits)), F.lit(0).cast("long"))
+    found = sigs.groupBy(value.alias("v")).count().toPandas()
+    counts = np.zeros(1 << len(bits))
+    counts[found["v"].to_numpy(np.int64)] = found["count"].to_numpy()
+    return pairs_by_distance(counts)
 
 
 def near_pairs(sigs: DataFrame, radius: int = PARAMETERS["radius"], radius_full: int = PARAMETERS["radius_full"], how: list[tuple[list[int], int]] | None = None) -> DataFrame:
@@ -256,7 +265,9 @@ def groups(docs: DataFrame, radius: int = PARAMETERS["radius"], radius_full: int
 def keep_one(docs: DataFrame, **radii: int) -> DataFrame:
     """The rows of docs that stay, one of each group, all columns as they were."""
     names = docs.columns
-    kept = groups(docs, **radii).where("keep").select(F.col("doc_id").alias("__kept"))
-    first = F.row_number().over(Window.partitionBy("__kept").orderBy(F.col("text").asc_nulls_last()))
-    rows = docs.join(kept, F.col("doc_id") == F.col("__kept")).withColumn("__at", first).where("__at = 1").select(*[F.col(f"`{c}`") for c in names])
-    return rows.unionByName(docs.where("doc_id is null"))
+    kept = groups(docs, **radii).where("keep").select(F.col("doc_id").alias("kept"))
+    own = numbered(docs)
+    key, text = own.columns[names.index("doc_id")], own.columns[names.index("text")]
+    first = F.row_number().over(Window.partitionBy("kept").orderBy(F.col(text).asc_nulls_last()))
+    rows = own.join(kept, F.col(key) == F.col("kept")).withColumn("at", first).where("at = 1").select(*own.columns)
+    return rows.unionAll(own.where(F.col(key).isNull())).toDF(*names)
