@@ -5,10 +5,10 @@ shrunk by a beta prior fitted to all hosts (method of moments), and the host's v
 to its documents. A document is kept when it passes every rule and its host is not rejected.
 
 Defined cases: a null or blank text fails the rule `blank`; a null source counts as the host ''; a null
-doc_id is carried as null; repeated rows are judged, and counted, row by row; an empty table gives an
-empty result; columns other than doc_id, text and source are ignored by `judge` and returned untouched
-by `keep_good`. With one host, or hosts that do not differ, the prior falls back to `flat_strength`
-pseudo-documents at the overall rate.
+doc_id is carried as null; repeated rows are judged, and counted, row by row; a host whose rate is exactly `host_rate` is not
+rejected; an empty table gives an empty result; columns other than doc_id, text and source are ignored by `judge` and
+returned untouched by `keep_good`, whatever their names. With one host, or hosts that do not differ, the prior falls back to
+`flat_strength` pseudo-documents at the overall rate.
 """
 
 from __future__ import annotations
@@ -16,28 +16,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, fresh_dir, numbered
 
 SYMBOLS = r"[#$%&*|!~^<>{}=+@\\]"
 #: symbols: most symbols a word, from 5 symbols on; upper: most capitals a character, from 40 capitals on; repeats: most words equal to
-#: the word before, from 4 on; word_length: most characters a word; host_rate: a host of more than this shrunk failure rate is rejected.
-PARAMETERS = {"symbols": 0.3, "upper": 0.3, "repeats": 0.2, "word_length": 40.0, "host_rate": 0.5, "flat_strength": 10.0, "broadcast_hosts": 100_000}
+#: the word before, from 4 on; word_length: most characters a word; repeated_lines: most lines that were there
+#: already, from 4 on; host_rate: a host of more than this shrunk failure rate is rejected.
+PARAMETERS = {"symbols": 0.3, "upper": 0.3, "repeats": 0.2, "word_length": 40.0, "repeated_lines": 0.3, "host_rate": 0.5, "flat_strength": 10.0, "broadcast_hosts": 100_000}
 
 
 def features(text: Column) -> dict[str, Column]:
     words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))
     return {
         "n_chars": F.length(text).cast("long"),
-        "n_words": F.when(F.length(F.trim(F.regexp_replace(text, r"\s+", " "))) == 0, 0).otherwise(F.size(words)).cast("long"),
+        "n_words": F.when(F.get(words, F.lit(0)) == "", 0).otherwise(F.size(words)).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_lines_again": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_upper": F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long"),
         "n_repeats": F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: a == b), lambda x: x)).cast("long"),
     }
 
 
-def failures(prefix: str = "", p: dict = PARAMETERS) -> dict[str, Column]:
-    """Rule name to failed?, over the columns of `features` (named with the prefix)."""
-    c = lambda name: F.col(prefix + name)
+def failures(p: dict = PARAMETERS) -> dict[str, Column]:
+    """Rule name to failed?, over the columns of `features`."""
+    c = F.col
     n, w = F.greatest(c("n_chars"), F.lit(1)), F.greatest(c("n_words"), F.lit(1))
     return {
         "blank": c("n_words") == 0,
@@ -45,14 +49,25 @@ def failures(prefix: str = "", p: dict = PARAMETERS) -> dict[str, Column]:
         "upper": (c("n_upper") / n > p["upper"]) & (c("n_upper") >= 40),
         "repeats": (c("n_repeats") / w > p["repeats"]) & (c("n_repeats") >= 4),
         "word_length": c("n_chars") / w > p["word_length"],
+        "repeated_lines": (c("n_lines_again") / F.greatest(c("n_lines"), F.lit(1)) > p["repeated_lines"]) & (c("n_lines_again") >= 4),
     }
 
 
-def measured(docs: DataFrame, *extra: str) -> DataFrame:
-    """doc_id, host, the features and rules_failed of every row, without its text; `extra` columns pass through."""
-    own = features(F.coalesce(F.col("text"), F.lit("")))
-    df = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("host"), *[c.alias(k) for k, c in own.items()], *extra)
-    return df.withColumn("rules_failed", F.concat_ws(",", *[F.when(c, F.lit(k)) for k, c in failures().items()]))
+def _host() -> Column:
+    return F.coalesce(F.col("source"), F.lit(""))
+
+
+def _features() -> list[Column]:
+    return [c.alias(k) for k, c in features(F.coalesce(F.col("text"), F.lit(""))).items()]
+
+
+def _failed(p: dict = PARAMETERS) -> Column:
+    return F.concat_ws(",", *[F.when(c, F.lit(k)) for k, c in failures(p).items()]).alias("rules_failed")
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, host, n_words and rules_failed of every row."""
+    return docs.select("doc_id", _host().alias("host"), *_features()).select("doc_id", "host", "n_words", _failed())
 
 
 def host_verdicts(rows: DataFrame, p: dict = PARAMETERS) -> DataFrame:
@@ -67,31 +82,33 @@ def host_verdicts(rows: DataFrame, p: dict = PARAMETERS) -> DataFrame:
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, host, n_words, rules_failed, host_docs, host_failed, host_rate, host_rejected, keep; one row per input row."""
-    rows = cut(measured(docs).select("doc_id", "host", "n_words", "rules_failed"))  # narrow; the text is read once
+    rows = cut(measured(docs))  # narrow; the text is read once
     return rows.join(host_verdicts(rows), "host").withColumn("keep", (F.col("rules_failed") == "") & ~F.col("host_rejected"))
 
 
 def keep_good(docs: DataFrame, p: dict = PARAMETERS) -> DataFrame:
-    """The kept rows of docs, all columns as they were. The rules are evaluated in place, only rejected hosts are joined."""
-    hosts = cut(host_verdicts(measured(docs)).where("host_rejected").select(F.col("host").alias("__host")))
+    """The kept rows of docs, all columns as they were. The rules are evaluated once: rows are written with their outcome, of which the hosts' counts read two narrow columns."""
+    spark, names = docs.sparkSession, docs.columns
+    plain = numbered(docs)
+    own = {c: plain.columns[names.index(c)] for c in ("text", "source")}
+    tested = plain.select("*", *[F.col(n).alias(c) for c, n in own.items()]).select(*plain.columns, _host().alias("host"), *_features())
+    tested.select(*plain.columns, "host", _failed(p)).write.parquet(out := fresh_dir(spark, "rules"))
+    rows = spark.read.schema(plain.withColumns({"host": F.lit(""), "rules_failed": F.lit("")}).schema).parquet(out)
+    hosts = cut(host_verdicts(rows.select("host", "rules_failed"), p).where("host_rejected").select("host"))
     rejected = hosts.count()
-    own = features(F.coalesce(F.col("text"), F.lit("")))
-    names = docs.columns
-    passed = docs.select("*", F.coalesce(F.col("source"), F.lit("")).alias("__source"), *[c.alias(f"__{k}") for k, c in own.items()])
-    for failed in failures("__").values():
-        passed = passed.where(~failed)
+    passed = rows.where("rules_failed = ''")
     if rejected:  # up to broadcast_hosts of them are sent to the documents, more are joined by a shuffle
-        passed = passed.join(F.broadcast(hosts) if rejected <= p["broadcast_hosts"] else hosts, F.col("__source") == F.col("__host"), "left_anti")
-    return passed.select(*[F.col(f"`{c}`") for c in names])
+        passed = passed.join(F.broadcast(hosts) if rejected <= p["broadcast_hosts"] else hosts, "host", "left_anti")
+    return passed.select(*plain.columns).toDF(*names)
 
 
 ORACLE = r"""
 WITH base AS (
   SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
          trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' ') AS flat FROM documents),
-split AS (SELECT *, string_split(flat, ' ') AS w FROM base),
+split AS (SELECT *, string_split(flat, ' ') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM base),
 feats AS (
-  SELECT doc_id, host, length(t) AS n_chars, CASE WHEN length(flat) = 0 THEN 0 ELSE len(w) END AS n_words,
+  SELECT doc_id, host, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_lines_again, length(t) AS n_chars, CASE WHEN length(flat) = 0 THEN 0 ELSE len(w) END AS n_words,
     length(t) - length(regexp_replace(t, '[#$%&*|!~^<>{}=+@\\]', '', 'g')) AS n_symbols,
     length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_upper,
     len(list_filter(list_zip(w[:-2], w[2:]), lambda x: x[1] = x[2])) AS n_repeats FROM split),
@@ -100,7 +117,8 @@ rules AS (
     CASE WHEN n_symbols / greatest(n_words, 1) > 0.3 AND n_symbols >= 5 THEN 'symbols' END,
     CASE WHEN n_upper / greatest(n_chars, 1) > 0.3 AND n_upper >= 40 THEN 'upper' END,
     CASE WHEN n_repeats / greatest(n_words, 1) > 0.2 AND n_repeats >= 4 THEN 'repeats' END,
-    CASE WHEN n_chars / greatest(n_words, 1) > 40.0 THEN 'word_length' END) AS rules_failed FROM feats),
+    CASE WHEN n_chars / greatest(n_words, 1) > 40.0 THEN 'word_length' END,
+    CASE WHEN n_lines_again / greatest(n_lines, 1) > 0.3 AND n_lines_again >= 4 THEN 'repeated_lines' END) AS rules_failed FROM feats),
 hosts AS (SELECT host, count(*) AS host_docs, sum((rules_failed <> '')::BIGINT)::BIGINT AS host_failed FROM rules GROUP BY host),
 prior AS (SELECT avg(host_failed / host_docs) AS m, var_pop(host_failed / host_docs) AS v FROM hosts),
 k AS (SELECT m, CASE WHEN v > 1e-9 AND m * (1 - m) > v THEN m * (1 - m) / v - 1 ELSE 10.0 END AS s FROM prior),
