@@ -1,10 +1,12 @@
 """WARC writer and BPE: round trips and determinism."""
 
 import base64
+import gzip
 import hashlib
 import json
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -55,6 +57,48 @@ def test_archive_is_whole_ordered_and_deterministic(spark, tmp_path):
     assert plain == sorted(plain)
 
 
+def plain_records(files: dict[str, bytes]) -> list[tuple[str, str]]:
+    """url and payload of the responses, by the format's rules alone: whole files unzipped, headers by lines, lengths from the headers."""
+    found = []
+    for name in sorted(files):
+        data, at = gzip.decompress(files[name]), 0
+        kinds = []
+        while at < len(data):
+            end = data.index(b"\r\n\r\n", at)
+            first, *lines = data[at:end].decode().split("\r\n")
+            h = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines)}
+            block = data[end + 4 : end + 4 + int(h["content-length"])]
+            at = end + 4 + len(block) + 4
+            assert first == "WARC/1.1" and data[at - 4 : at] == b"\r\n\r\n" and re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", h["warc-record-id"])
+            assert h["warc-block-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+            kinds.append(h["warc-type"])
+            if kinds[-1] == "response":
+                http, _, payload = block.partition(b"\r\n\r\n")
+                assert http.startswith(b"HTTP/1.1 200 ") and f"Content-Length: {len(payload)}".encode() in http
+                found.append((h["warc-target-uri"], payload.decode()))
+        assert kinds[0] == "warcinfo" and set(kinds[1:]) == {"response"}
+    return found
+
+
+def test_records_are_those_of_a_plain_sequential_writer(spark, tmp_path):
+    df = pages(spark)
+    warc.write(df, f"file://{tmp_path}/s", SMALL)
+    files = {f: open(tmp_path / "s" / f, "rb").read() for f in digests(tmp_path / "s")}
+
+    def key(r):  # noqa: ANN001, ANN202
+        url = r.url if r.url is not None else f"urn:page:{'' if r.page_id is None else r.page_id}"
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", url)
+        surt = ",".join(reversed((m[1] if m else "").lower().split("."))) + ")" + (url[m.end() :] if m else url)
+        return surt, url, -1 if r.page_id is None else r.page_id, r.html or ""
+
+    want = [(re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", u), html) for _, u, _, html in sorted(map(key, df.collect()))]
+    assert plain_records(files) == want
+    last = {f.split("-")[1]: f for f in sorted(files)}
+    for f, data in files.items():  # a file ends with the record that takes it past file_bytes
+        ends = [at for at, *_ in warc.read(data)]
+        assert ends[-1] < SMALL["file_bytes"] and (len(data) >= SMALL["file_bytes"] or f in last.values())
+
+
 def test_other_attempts_leave_nothing_and_commit_may_be_repeated(spark, tmp_path):
     folder = f"file://{tmp_path}/c"
     df = pages(spark, 30)

@@ -158,7 +158,8 @@ def write(pages: DataFrame, folder: str, p: dict = PARAMETERS) -> DataFrame:
                 data, digest, record_id = response(safe, page_id, html, nth, p["date"])
                 offset, length = roller.write(data)
                 found.append((page_id, safe, roller.name, offset, length, digest, record_id, roller.temp, k))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()])], names) if found else pa.RecordBatch.from_arrays([b.column("page_id").slice(0, 0)], ["page_id"])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()])], names)
         if roller is not None:
             roller.close()
 
@@ -169,12 +170,19 @@ def write(pages: DataFrame, folder: str, p: dict = PARAMETERS) -> DataFrame:
 
 
 def commit(index: DataFrame, folder: str) -> None:
-    """Gives the files in the index their final names and writes the manifest. May be repeated."""
+    """Gives the files in the index their final names, many side by side, and writes the manifest. May be repeated, tasks of it too."""
     filesystem, path = pafs.FileSystem.from_uri(folder)
-    files = index.groupBy("file", "__temp").agg(F.count(F.lit(1)).alias("records"), F.max(F.col("offset") + F.col("length")).alias("bytes")).orderBy("file").collect()  # one row a file
-    for f in files:
-        if filesystem.get_file_info(f"{path}/{f['file']}").type == pafs.FileType.NotFound:
-            filesystem.move(f"{path}/{f['__temp']}", f"{path}/{f['file']}")
+
+    def renamed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filesystem, path = pafs.FileSystem.from_uri(folder)
+        for part in parts:
+            for temp, file in zip(part["temp"], part["file"]):
+                if filesystem.get_file_info(f"{path}/{file}").type == pafs.FileType.NotFound:
+                    filesystem.move(f"{path}/{temp}", f"{path}/{file}")
+            yield part
+
+    rows = index.groupBy("file", F.col("__temp").alias("temp")).agg(F.count(F.lit(1)).alias("records"), F.max(F.col("offset") + F.col("length")).alias("bytes"))
+    files = sorted(rows.mapInPandas(renamed, rows.schema).collect(), key=lambda f: f["file"])  # one row a file
     body = json.dumps({"files": [{"file": f["file"], "records": f["records"], "bytes": f["bytes"]} for f in files]}, indent=1)
     with filesystem.open_output_stream(f"{path}/manifest.json.tmp") as out:
         out.write(body.encode())
