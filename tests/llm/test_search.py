@@ -1,8 +1,10 @@
 """Neighbours by collision counting, packing, and the pipeline."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import xxhash
 
 from tests.llm.helpers import DOCS, awkward, clashing, prose, row
 from tidemark.llm import ann, common, near_dedup, packing, quality_rules, substring_dedup
@@ -79,14 +81,24 @@ def test_neighbours_on_awkward_tables(spark):
     assert {tuple(r) for r in ann.neighbours(clashing(same), ann.PARAMETERS | {"block": 25}).where("vec_id = 5").select("neighbour_id", "distance").collect()} == {(i, 0.0) for i in range(11) if i != 5}
 
 
+def plain_sketch(text: str, p: dict) -> list[int]:
+    m, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    words = [xxhash.xxh3_64_intdigest(w.strip(".,;:!?\"'()").lower().encode()) for w in text.split()]
+    found = set()
+    for x, y in zip(words, words[1:]):
+        g = (x * base + y) & m
+        g ^= g >> 29
+        found.add((g * base & m) >> 1)
+    return sorted(found or {w >> 1 for w in words})[: max(p["sketch"], len(words) // p["words_a_pair"])]
+
+
 def brute_links(docs: dict, p: dict) -> dict:
-    cache = packing._cache()
-    sketch = {i: packing_sketch(t, p["sketch"], cache) for i, t in docs.items()}
+    sketch = {i: plain_sketch(t, p) for i, t in docs.items()}
     df = {}
     for s in sketch.values():
         for w in s:
             df[w] = df.get(w, 0) + 1
-    terms = {i: sorted((df[w], w) for w in s if df[w] > 1)[: p["terms"]] for i, s in sketch.items()}
+    terms = {i: sorted((df[w], w) for w in s if df[w] > 1)[: max(p["terms"], -(-len(s) // 3))] for i, s in sketch.items()}
     out = {}
     for a in terms:
         for b in terms:
@@ -95,8 +107,53 @@ def brute_links(docs: dict, p: dict) -> dict:
     return out, terms
 
 
-def packing_sketch(text, size, cache):  # noqa: ANN001, ANN201
-    return next(packing.sketched([text], size, cache))[1]
+def brute_windows(docs: dict, p: dict) -> tuple[list, list]:
+    """The paths of documents, and (doc_id, path, window, from, to) when all are in one block: one link after the other, no Spark."""
+    near, terms = brute_links(docs, p)
+    node = {i: min(j for j in terms if terms[j] == t) if t else i for i, t in terms.items()}
+    near = {(a, b): n for (a, b), n in near.items() if node[a] == a and node[b] == b}
+    kept = set()
+    for i in set(node.values()):
+        kept |= set(sorted((x for x in near if i in x), key=lambda x: (-near[x], x))[: p["neighbours"]])
+    degree = Counter(i for x in kept for i in x)
+    path = {i: [i] for i in set(node.values())}
+    for a, b in sorted(kept, key=lambda x: (min(degree[x[0]], degree[x[1]]), -near[x], x)):
+        u, v = path[a], path[b]
+        if u is not v and a in (u[0], u[-1]) and b in (v[0], v[-1]):
+            joined = (u if u[-1] == a else u[::-1]) + (v if v[0] == b else v[::-1])
+            for i in joined:
+                path[i] = joined
+    paths = {min(x): x if x[0] < x[-1] else x[::-1] for x in path.values()}
+    # single nodes come first, then each path from its smaller end
+    order = sorted(paths.values(), key=lambda x: (len(x) > 1, x[0]))
+    members = {i: sorted(j for j in node if node[j] == i) for i in path}
+    at, filled = 0, []
+    for k, x in enumerate(order):
+        for doc in [j for i in x for j in members[i]]:
+            for word in range(len(docs[doc].split())):
+                if word and at % p["window"]:
+                    filled[-1][4] += 1
+                else:
+                    filled.append([doc, k, at // p["window"], word, word + 1])
+                at += 1
+    return sorted(tuple(j for i in x for j in members[i]) for x in order), [tuple(x) for x in filled]
+
+
+def test_packing_is_that_of_brute_force(spark):
+    rng = random.Random(12)
+    docs = {i: " ".join(f"w{rng.randrange(12)}t{i % 3}" for _ in range(rng.randint(20, 90))) for i in range(50)}
+    docs |= {100 + i: docs[i] for i in range(5)} | {200: " ".join(docs[i] for i in range(30)), 201: "lone words here", 202: "x"}
+    docs = {i: t for i, t in rng.sample(sorted(docs.items()), len(docs))}
+    df = spark.createDataFrame([row(i, t) for i, t in docs.items()], DOCS)
+    for p in ({"window": 100}, {"window": 100, "local_links": 0}, {"window": 64, "sketch": 6, "words_a_pair": 5, "terms": 2}, {"neighbours": 1}):
+        p = packing.PARAMETERS | {"block_windows": 1000} | p
+        paths, want = brute_windows(docs, p)
+        got = packing.pack(df, p).toPandas()
+        assert got.block.nunique() == 1 and [tuple(x) for x in got.sort_values(["window", "position"])[["doc_id", "path", "window", "word_from", "word_to"]].to_numpy()] == want
+        assert max(map(len, paths)) > 8
+        spread = packing.pack(df, p | {"block_windows": 1, "window": 50}).toPandas()
+        whole = spread[spread.word_from == 0].sort_values(["block", "window", "position"])
+        assert spread.block.nunique() > 1 and sorted(tuple(x) for x in whole.groupby(["block", "path"]).doc_id.agg(list)) == paths
 
 
 def related() -> dict:
@@ -111,7 +168,7 @@ def test_graph_is_exact(spark):
     nodes = spark.createDataFrame([(i, [{"df": d, "word": w} for d, w in t]) for i, t in terms.items() if t], "id long, t array<struct<df:long,word:long>>")
     got = {(r.a, r.b): r.near for r in packing.links(nodes).where("a < b").collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want) and len(want) > 20
-    sketched = packing.sketches(spark.createDataFrame([row(i, t) for i, t in docs.items()], DOCS), p["sketch"])
+    sketched = packing.sketches(spark.createDataFrame([row(i, t) for i, t in docs.items()], DOCS), p)
     assert {r.doc_id: [(x.df, x.word) for x in r.t] for r in packing.terms_of(sketched, p["terms"]).collect()} == {i: t for i, t in terms.items() if t}
 
 
@@ -157,7 +214,7 @@ def test_paths_are_the_same_for_one_block_and_many(spark):
 
     (one, want), (many, spread), (_, rounds) = paths(), paths(window=50, block_windows=2), paths(window=50, block_windows=2, local_links=0)
     assert one == 1 < many and want == spread == rounds
-    sketch = packing.sketches(df, packing.PARAMETERS["sketch"])
+    sketch = packing.sketches(df)
     nodes = packing.terms_of(sketch, packing.PARAMETERS["terms"]).where("doc_id < 100").withColumnRenamed("doc_id", "id")
     near = packing.nearest(nodes, packing.PARAMETERS["neighbours"]).toPandas()
     path_of = {i: k for k, x in enumerate(want) for i in x}
