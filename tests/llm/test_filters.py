@@ -3,12 +3,14 @@
 import random
 import re
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS, awkward, clashing, prose, row
 from tidemark.llm import classifier, license_phrases, license_rules, license_scan, quality_rules, url_filter
@@ -38,6 +40,23 @@ def test_quality_rules_match_sql_and_keep_whole_rows(spark):
     assert quality_rules.judge(empty).count() == 0 and quality_rules.keep_good(empty).count() == 0
 
 
+def test_repeated_lines_and_rates_on_the_limit(spark):
+    lines = [prose(900 + i, 6) for i in range(10)]
+    rows = [row(1, "\n".join(lines)), row(2, "\n".join(lines[:5] * 2)), row(3, "\n".join(lines + lines[:3])), row(4, "\n \n\n \n\n" + lines[0]), row(5, "\n".join(lines[:1] * 6))]
+    df = spark.createDataFrame(rows, DOCS)
+    failed = {r.doc_id: r.rules_failed for r in quality_rules.judge(df).collect()}
+    assert failed == {1: "", 2: "repeated_lines", 3: "", 4: "", 5: "repeated_lines"}
+    names = [f"c{i}" for i in range(8)] + ["__host", "__source", "__n_words", "rules_failed", "n_chars2"]
+    marked = df
+    for n in names:
+        marked = marked.withColumn(n, F.lit("mine"))
+    kept = quality_rules.keep_good(marked)
+    assert kept.columns == marked.columns and {r.doc_id for r in kept.collect()} == {1, 3, 4} and all(r[n] == "mine" for r in kept.collect() for n in names)
+    half = spark.createDataFrame([("h", "" if i % 2 else "blank") for i in range(4)], "host string, rules_failed string")  # a rate of exactly the limit
+    (host,) = quality_rules.host_verdicts(half).collect()
+    assert host.host_rate == 0.5 and not host.host_rejected
+
+
 def test_host_rates_shrink_to_the_prior(spark):
     rows = [row(i, prose(i, 20), f"h{i % 3}") for i in range(60)] + [row(90, "", "tiny")]
     rate = {r.host: r.host_rate for r in quality_rules.judge(spark.createDataFrame(rows, DOCS)).collect()}
@@ -59,6 +78,72 @@ def test_classifier_held_out_accuracy(labelled):
     assert ((q >= 0.5) == np.array([True] * 100 + [False] * 100)).mean() > 0.97
 
 
+def plain_features(text: str, p: dict) -> dict[int, float]:
+    """Share of each feature of a text, word by word and character by character."""
+    m, mix, base = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0x100000001B3
+
+    def mixed(h: int) -> int:
+        h = (h ^ (h >> 31)) * mix & m
+        return (h ^ (h >> 29)) * base & m
+
+    found = Counter()
+    for word in text.split():
+        c = [ord(x) + 1 for x in f"<{word}>"]
+        found[mixed(sum(mixed((x + k * mix) & m) for k, x in enumerate(c)) & m) % p["buckets"]] += 1
+        for n in p["ngrams"]:
+            for k in range(len(c) - n + 1):
+                h = 0
+                for x in c[k : k + n]:
+                    h = (h * base + x) & m
+                found[mixed((h + n) & m) % p["buckets"]] += 1
+    return {k: n / found.total() for k, n in found.items()}
+
+
+def plain_sgd(texts: list[str], classes: list[int], p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same descent in plain loops: vectors, layer, bias."""
+    rng = np.random.default_rng(p["seed"])
+    E = (rng.random((p["buckets"], p["dims"])) - 0.5) / p["dims"]
+    W, counts = np.zeros((p["dims"], 2)), [1 + classes.count(c) for c in (0, 1)]
+    bias = np.log(np.array(counts) / sum(counts))
+    docs, step = [plain_features(t, p) for t in texts], 0
+    for _ in range(p["epochs"]):
+        order = rng.permutation(len(docs))
+        for b in range(0, len(order), p["batch"]):
+            rate = p["rate"] * (1 - step / (p["epochs"] * len(docs)))
+            sums, sums_b = np.zeros_like(W), np.zeros(2)
+            for i in order[b : b + p["batch"]]:
+                step += 1
+                v = sum((w * E[k] for k, w in docs[i].items()), np.zeros(p["dims"]))
+                z = v @ W + bias
+                q = np.exp(z) / np.exp(z).sum()
+                loss = (q - np.eye(2)[classes[i]]) * sum(counts) / (2 * counts[classes[i]])
+                for d in range(p["dims"]):
+                    for c in range(2):
+                        sums[d, c] += v[d] * loss[c]
+                sums_b += loss
+                back = W @ loss
+                for k, w in docs[i].items():
+                    E[k] -= rate * len(docs[i]) ** 0.5 * w * back
+                if not W.any():
+                    W += (rng.random(W.shape) - 0.5) * 0.5
+            W -= rate * sums
+            bias -= 0.1 * rate * sums_b
+    return E, W, bias
+
+
+def test_classifier_is_that_of_plain_loops(labelled):
+    good, bad = labelled
+    texts, classes = bad[:30] + good[:40], [0] * 30 + [1] * 40
+    p = classifier.PARAMETERS | {"buckets": 1 << 12, "epochs": 2}
+    E, W, bias = plain_sgd(texts, classes, p)
+    model = classifier.train(texts, classes, p)
+    assert np.abs(model - np.vstack([E @ W, bias[None]])).max() < 2e-3
+    held = good[200:220] + bad[200:220] + ["", "one"]
+    for text, q in zip(held, classifier.Scorer(model, p)(held)):
+        z = sum((w * (E[k] @ W) for k, w in plain_features(text, p).items()), np.zeros(2)) + bias
+        assert abs(q[1] - 1 / (1 + np.exp(z[0] - z[1]))) < 2e-3
+
+
 def test_classifier_scores_do_not_depend_on_the_cache(labelled):
     good, bad = labelled
     model = classifier.train(bad[:50] + good[:50], [0] * 50 + [1] * 50)

@@ -150,7 +150,7 @@ def test_packing_is_that_of_brute_force(spark):
         paths, want = brute_windows(docs, p)
         got = packing.pack(df, p).toPandas()
         assert got.block.nunique() == 1 and [tuple(x) for x in got.sort_values(["window", "position"])[["doc_id", "path", "window", "word_from", "word_to"]].to_numpy()] == want
-        assert max(map(len, paths)) > 8
+        assert max(map(len, paths)) >= 4 < len(paths)
         spread = packing.pack(df, p | {"block_windows": 1, "window": 50}).toPandas()
         whole = spread[spread.word_from == 0].sort_values(["block", "window", "position"])
         assert spread.block.nunique() > 1 and sorted(tuple(x) for x in whole.groupby(["block", "path"]).doc_id.agg(list)) == paths
