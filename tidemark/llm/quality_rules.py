@@ -25,8 +25,7 @@ SYMBOLS = r"[#$%&*|!~^<>{}=+@\\]"
 PARAMETERS = {"symbols": 0.3, "upper": 0.3, "repeats": 0.2, "word_length": 40.0, "repeated_lines": 0.3, "host_rate": 0.5, "flat_strength": 10.0, "broadcast_hosts": 100_000}
 
 
-def features(text: Column) -> dict[str, Column]:
-    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+def features(text: Column, words: Column) -> dict[str, Column]:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S"))
     return {
         "n_chars": F.length(text).cast("long"),
@@ -57,8 +56,12 @@ def _host() -> Column:
     return F.coalesce(F.col("source"), F.lit(""))
 
 
-def _features() -> list[Column]:
-    return [c.alias(k) for k, c in features(F.coalesce(F.col("text"), F.lit(""))).items()]
+def _features(docs: DataFrame, kept: list[Column | str]) -> DataFrame:
+    """The kept columns (of other names than t and w) and the features of each row; a text's words are made once."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    rows = docs.select(*kept, text.alias("t"), words.alias("w"))
+    return rows.select(*rows.columns[:-2], *[c.alias(k) for k, c in features(F.col("t"), F.col("w")).items()])
 
 
 def _failed(p: dict = PARAMETERS) -> Column:
@@ -67,7 +70,7 @@ def _failed(p: dict = PARAMETERS) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, host, n_words and rules_failed of every row."""
-    return docs.select("doc_id", _host().alias("host"), *_features()).select("doc_id", "host", "n_words", _failed())
+    return _features(docs, ["doc_id", _host().alias("host")]).select("doc_id", "host", "n_words", _failed())
 
 
 def host_verdicts(rows: DataFrame, p: dict = PARAMETERS) -> DataFrame:
@@ -91,7 +94,7 @@ def keep_good(docs: DataFrame, p: dict = PARAMETERS) -> DataFrame:
     spark, names = docs.sparkSession, docs.columns
     plain = numbered(docs)
     own = {c: plain.columns[names.index(c)] for c in ("text", "source")}
-    tested = plain.select("*", *[F.col(n).alias(c) for c, n in own.items()]).select(*plain.columns, _host().alias("host"), *_features())
+    tested = _features(plain.select("*", *[F.col(n).alias(c) for c, n in own.items()]), [*plain.columns, _host().alias("host")])
     tested.select(*plain.columns, "host", _failed(p)).write.parquet(out := fresh_dir(spark, "rules"))
     rows = spark.read.schema(plain.withColumns({"host": F.lit(""), "rules_failed": F.lit("")}).schema).parquet(out)
     hosts = cut(host_verdicts(rows.select("host", "rules_failed"), p).where("host_rejected").select("host"))
