@@ -10,7 +10,10 @@ import re
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tests.llm.helpers import DOCS, awkward, clashing, prose, row
 from tidemark.llm import bpe, warc
@@ -137,6 +140,20 @@ def test_ids_are_those_of_plain_bpe(plain):
             assert ids.tolist() == own.encode_ordinary(t) and e.decode(ids) == t.encode()
 
 
+@given(st.text(st.sampled_from(" \n\t\x1c\x1f\x85\xa0\u2003\u200b\u3000aZé中'sdlm19²Ⅷ!.-_\u0301😀")), st.text(max_size=12))
+@settings(max_examples=400, deadline=None)
+def test_pieces_are_split_as_their_text(a, b):
+    text = a + b
+    split = regex.compile(bpe.PATTERN).findall
+    pieces = bpe.PIECES.findall(text)
+    assert "".join(pieces) == text and [w for p in pieces for w in split(p)] == split(text)
+
+
+def test_white_space_is_that_of_the_pattern():
+    every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
+    assert regex.findall(r"\s", every) == re.findall(f"[{bpe._SPACE}]", every)
+
+
 def test_lexicon_is_minimal_and_maps(tmp_path):
     words = sorted(a + b for a in (b"un", b"re", b"") for b in (b"do", b"doing", b"making", b"made", b"ing"))
     lexicon = bpe.Lexicon.build(words, [[i, i + 1] for i in range(len(words))])

@@ -5,7 +5,10 @@ Texts are cut into words by the vocabulary's pattern. The words' counts over all
 between words with equal suffixes; its transitions carry numbers that add up to a word's rank, and the rank's
 ids are in a table. The arrays are one file, sent to all executors and memory-mapped there, so that a machine's workers
 share its pages. Words that aren't in it are merged exactly, by rank, on the spot; so the ids are always
-those of plain BPE. Words met in a task are remembered up to a bound.
+those of plain BPE.
+
+The pattern never goes across white space, but for one blank before a word. So texts are first cut into pieces, from a blank to the next
+white space, by a far simpler pattern; the words of a piece, and its ids, are found once and remembered, up to a bound, for all its places.
 
 Defined cases: a null text has null ids, n_tokens null and round_trip null; an empty text has no ids and round-trips; lone
 surrogates can't occur in Spark strings; strings of special tokens are ordinary text; equal rows give equal results; a null
@@ -15,6 +18,7 @@ doc_id is carried; an empty table gives an empty result; columns other than doc_
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +38,11 @@ PARAMETERS = {"lexicon": 400_000, "vocabulary": "/opt/tokenizers/byte_bpe_50k.ti
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # what \s means in PATTERN
+#: PATTERN splits a text as it splits these pieces of it, one by one.
+PIECES = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -184,24 +193,29 @@ class Encoder:
         for token, i in ranks.items():
             self.bytes_of[i] = token
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> None:
+        split = list(map(self.split, pieces))
+        words = list(set(chain.from_iterable(split)))
         raw = [w.encode("utf-8") for w in words]
         ranks, start, ids = self.lexicon.ranks(raw), self.lexicon.start, self.lexicon.ids.data.cast("B")
         a = np.where(ranks >= 0, start[ranks], -1)
+        ids_of = {}
         for w, r, x, y in zip(words, raw, a.tolist(), start[np.minimum(ranks, len(start) - 2) + 1].tolist()):
-            self.known[w] = bytes(ids[4 * x : 4 * y]) if x >= 0 else array("i", merge(r, self.ranks)).tobytes()
+            ids_of[w] = bytes(ids[4 * x : 4 * y]) if x >= 0 else array("i", merge(r, self.ranks)).tobytes()
+        for piece, own in zip(pieces, split):
+            self.known[piece] = b"".join(map(ids_of.__getitem__, own))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes | None]:
         out: list[bytes | None] = []
         for a, b in slices([len(t or "") for t in texts], 1_000_000):
-            words = [None if t is None else self.split(t) for t in texts[a:b]]
-            every = set().union(*(w for w in words if w))
+            pieces = [None if t is None else PIECES.findall(t) for t in texts[a:b]]
+            every = set().union(*(w for w in pieces if w))
             new = every - self.known.keys()
             if len(self.known) + len(new) > self.limit:
                 self.known.clear()
                 new = every
             self.learn(list(new))
-            out += [None if w is None else b"".join(map(self.known.__getitem__, w)) for w in words]
+            out += [None if w is None else b"".join(map(self.known.__getitem__, w)) for w in pieces]
         return out
 
     def encode(self, text: str) -> bytes:
@@ -215,18 +229,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word, n: counts of all words of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, counts = regex.compile(PATTERN).findall, Counter()
+        split, pieces = regex.compile(PATTERN).findall, Counter()
 
         def flush() -> pa.RecordBatch:
+            counts: dict[str, int] = {}
+            for piece, n in pieces.items():
+                for word in split(piece):
+                    counts[word] = counts.get(word, 0) + n
+            pieces.clear()
             out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-            counts.clear()
             return out
 
         for b in batches:
             for text in b.column("text").to_pylist():
                 if text:
-                    counts.update(split(text))
-                    if len(counts) > 400_000:
+                    pieces.update(PIECES.findall(text))
+                    if len(pieces) > 400_000:
                         yield flush()
         yield flush()
 
