@@ -31,8 +31,9 @@ def language_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT word, count(*) AS n FROM (SELECT lower(regexp_replace(unnest(string_split_regex(text, '[\s\p{Z}]+')), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')) AS word FROM documents) WHERE length(word) >= 3 GROUP BY word""")
 def word_norm_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = X.table(spark, sf_dir, "documents").select(F.explode(F.split("text", T.SPACE)).alias("t")).select(T.normal_word(F.col("t")).alias("word"))
-    return words.where(F.length("word") >= 3).groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word")
+    tokens = X.table(spark, sf_dir, "documents").select(F.explode(F.split("text", T.SPACE)).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    words = tokens.select(T.normal_word(F.col("t")).alias("word"), "n")  # each token is normalised once
+    return words.where(F.length("word") >= 3).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
 
 
 _STAMPS = r"""
