@@ -85,6 +85,20 @@ def merge_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_runs(X.segments(spark, sf_dir)).select("doc_id", "seg_idx", "start_ms", "end_ms", "text", "speaker_id", F.size("merged_from").alias("pieces"))
 
 
+_DETAILS = """
+told AS (SELECT *, CASE WHEN seg_idx % 3 = 0 THEN lower(text) END AS tr, seg_idx % 10 AS conf, seg_idx % 4 = 1 AS flag FROM grow),
+whole AS (SELECT doc_id, head, string_agg(tr, ' ' ORDER BY seg_idx) AS tr, min(conf) AS conf, bool_or(flag) AS flag, 'r' || coalesce(min(CASE WHEN flag THEN seg_idx END), head) AS reason, count(*) AS n, string_agg(text || '/' || start_ms || '/' || end_ms || '/' || coalesce(tr, ''), '|' ORDER BY seg_idx) AS pieces FROM told GROUP BY doc_id, head)"""
+
+
+@query(X.with_sql(*X.TO_SEGMENTS, MERGED_SQL, _DETAILS, recursive=True) + "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY head) - 1)::INTEGER AS seg_idx, coalesce(tr, '') AS translation, conf / 10.0::DOUBLE AS confidence, flag AS needs_review, reason AS review_reason, CASE WHEN n > 1 THEN pieces ELSE '' END AS pieces FROM whole")
+def merge_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a merged caption keeps of its pieces' translations, confidence and reviews, and the pieces themselves."""
+    rows = X.segments(spark, sf_dir).withColumn("translation", F.expr("if(seg_idx % 3 = 0, lower(text), '')")).withColumn("confidence", (F.col("seg_idx") % 10 / 10).cast("float"))
+    rows = S.merge_runs(rows.withColumn("needs_review", F.expr("seg_idx % 4 = 1")).withColumn("review_reason", F.concat(F.lit("r"), F.col("seg_idx").cast("string"))))
+    pieces = F.array_join(F.transform("merged_from", lambda p: F.concat_ws("/", p.text, p.start_ms.cast("string"), p.end_ms.cast("string"), p.translation)), "|")
+    return rows.select("doc_id", "seg_idx", "translation", F.round(F.col("confidence").cast("double"), 6).alias("confidence"), "needs_review", "review_reason", pieces.alias("pieces"))
+
+
 @query(X.with_sql(*X.TO_SEGMENTS, MERGED_SQL, recursive=True) + "SELECT doc_id, sum((pieces > 0)::INTEGER)::BIGINT AS merged, sum(greatest(pieces - 1, 0))::BIGINT AS absorbed, sum(greatest(pieces, 1))::BIGINT AS before, count(*) AS after FROM merged GROUP BY doc_id")
 def merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_report(S.merge_runs(X.segments(spark, sf_dir)))

@@ -68,9 +68,9 @@ def part_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.part_list(parts.withColumn("path", F.concat(F.lit("/x/y\\p"), F.col("part_idx").cast("string"), F.expr("if(part_idx % 3 = 0, '.TmProj', '.mp4')"))))
 
 
-@query("SELECT conv_id AS doc_id, turn::INTEGER AS cue_idx, len(list_distinct(list_filter(list_transform(string_split_regex(text, '[\\s\\p{Z}]+'), lambda t: lower(regexp_replace(t, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g'))), lambda w: w <> '')))::INTEGER AS words FROM conversations")
+@query("SELECT conv_id AS doc_id, turn::INTEGER AS cue_idx, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split_regex(text, '[\\s\\p{Z}]+'), lambda t: lower(regexp_replace(t, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g'))), lambda w: w <> ''))), ' ') AS words FROM conversations")
 def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("cue_idx"), F.size(S.distinct_words(F.col("text"))).alias("words"))
+    return X.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("cue_idx"), F.array_join(F.array_sort(S.distinct_words(F.col("text"))), " ").alias("words"))
 
 
 @query(X.with_sql(*X.TO_SEGMENTS, recursive=True) + "SELECT doc_id, greatest(max(end_ms), (doc_id % 5) * 100000, 1)::BIGINT AS duration_ms FROM segs GROUP BY doc_id")

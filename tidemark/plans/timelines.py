@@ -163,10 +163,11 @@ def frame_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.changed_frames(V.frame_states(clock, rows, scenes(rows), overlays(rows)))
 
 
-@query(*SEGS, POINTS, SCENES, OVERLAYS, ACTIVE, SHOWN, "SELECT doc_id, ms, 2 AS layer, seg_idx AS item, round(alpha, 9) AS alpha FROM active UNION ALL SELECT doc_id, ms, CASE WHEN on_top THEN 4 ELSE 1 END, overlay_idx, round(alpha, 9) FROM shown UNION ALL SELECT p.doc_id, ms, 0, max(scene_idx), 1.0 FROM points p JOIN scenes s ON s.doc_id = p.doc_id AND s.start_ms <= ms AND ms < s.end_ms GROUP BY p.doc_id, ms")
+@query(*SEGS, POINTS, SCENES, OVERLAYS, ACTIVE, SHOWN, "SELECT doc_id, ms, layer, seg_idx AS item, round(alpha, 9) AS alpha FROM active, (VALUES (2), (3)) AS v(layer) WHERE layer = 2 OR seg_idx % 3 = 0 UNION ALL SELECT doc_id, ms, CASE WHEN on_top THEN 4 ELSE 1 END, overlay_idx, round(alpha, 9) FROM shown UNION ALL SELECT p.doc_id, ms, 0, max(scene_idx), 1.0 FROM points p JOIN scenes s ON s.doc_id = p.doc_id AND s.start_ms <= ms AND ms < s.end_ms GROUP BY p.doc_id, ms")
 def draw_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(X.segments(spark, sf_dir))
-    return V.draw_plan(points(rows), rows, scenes(rows), overlays(rows)).withColumn("alpha", F.round("alpha", 9))
+    told = rows.withColumn("translation", F.expr("if(seg_idx % 3 = 0, lower(text), '')"))
+    return V.draw_plan(points(rows), told, scenes(rows), overlays(rows)).withColumn("alpha", F.round("alpha", 9))
 
 
 def marks(spark: SparkSession) -> DataFrame:
