@@ -142,6 +142,15 @@ def test_longest_shared_beginnings_are_those_of_brute_force(rows):
     assert substring_dedup.longest_shared([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]) == want
 
 
+@given(st.lists(st.lists(st.integers(0, 2), max_size=7), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_common_beginnings_are_those_of_a_loop(lists):
+    lists.sort()
+    want = [0] + [next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y))) for x, y in zip(lists, lists[1:])]
+    flat = np.array([v for x in lists for v in x], np.int64)
+    assert substring_dedup.common_beginnings(flat, np.array(list(map(len, lists)), np.int64)).tolist() == want[: len(lists)]
+
+
 def test_remove_leaves_each_passage_once(spark):
     docs = spark.createDataFrame(documents() + [row(None, prose(70, 60)), row(40, None)], DOCS)
     left = {r.doc_id: r for r in substring_dedup.remove(clashing(docs)).collect()}

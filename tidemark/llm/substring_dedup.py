@@ -9,7 +9,7 @@ matches are extended both ways:
 * A frame's matches are extended to the left and right as one class while all its documents have the same word there;
   where they first differ, the class ends. So a passage in a hundred thousand documents is a hundred
   thousand rows, not pairs. What lies between two such places is a link; a document's run of shared frames is a chain of links.
-* From each link of a chain, the match with other documents is extended to the right over 8, 16, 32, ... more links. Chains that
+* From each link of a chain, the match with other documents is extended to the right over 32, 64, 128, ... more links. Chains that
   begin with the same link are compared in sorted order, where the longest match is next to each other; only those that match
   to the end of what was compared go on to the next round.
 
@@ -214,10 +214,35 @@ def find_chains(frames: DataFrame, length: int) -> DataFrame:
 
 
 def longest_shared(ahead: list[list[int]], own: list[int], multi: list[bool], root: int | None = None) -> list[tuple[int, int]]:
-    """For each of the sorted lists, how many of its first values another document's list has too, and the smallest document that has those.
+    """For each of the sorted lists, how many of its first values another document's list has too, and the smallest document that has those."""
+    same = [0] + [next((k for k, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y))) for x, y in zip(ahead, ahead[1:])]
+    return deepest(list(map(len, ahead)), same, own, multi, root)
+
+
+def common_beginnings(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of lists of n values each, one after the other in flat, how many first values each has in common with the one before; 0 for the first."""
+    out = np.zeros(len(n), np.int64)
+    start, most = np.cumsum(n) - n, np.zeros(len(n), np.int64)
+    most[1:] = np.minimum(n[1:], n[:-1])
+    for at, to in slices(most.tolist(), 1 << 19):
+        i = np.arange(max(at, 1), to)
+        wide = int(most[i].max(initial=0))
+        step = max(1, (1 << 20) // max(wide, 1))  # rows side by side
+        for k in range(0, len(i) if wide else 0, step):
+            j, place = i[k : k + step], np.arange(wide)
+            inside = place < most[j][:, None]
+            a, b = (np.where(inside, s[:, None] + place, 0) for s in (start[j - 1], start[j]))
+            unlike = np.ones((len(j), wide + 1), bool)
+            unlike[:, :wide] = ~inside | (flat[a] != flat[b])
+            out[j] = unlike.argmax(axis=1)
+    return out
+
+
+def deepest(lengths: list[int], same: list[int], own: list[int], multi: list[bool], root: int | None = None) -> list[tuple[int, int]]:
+    """longest_shared() of lists of these lengths, of which each has its first `same` values in common with the one before.
 
     The lists' common beginnings are a tree; a list's answer is at the nearest node above it that has two documents."""
-    found = [(0, 0)] * len(ahead)
+    found = [(0, 0)] * len(lengths)
     open_: list[list] = [[0, 1 << 62, -(1 << 62), []]]  # nodes on the way down: depth, smallest and largest document, lists without an answer
 
     def close() -> list:
@@ -232,25 +257,18 @@ def longest_shared(ahead: list[list[int]], own: list[int], multi: list[bool], ro
         node[1], node[2] = min(node[1], child[1]), max(node[2], child[2])
         node[3] = node[3] + child[3] if len(node[3]) < len(child[3]) else node[3].__iadd__(child[3])
 
-    last: list[int] = []
-    for i, x in enumerate(ahead):
-        same = 0
-        for u, v in zip(last, x):
-            if u != v:
-                break
-            same += 1
-        while open_[-1][0] > same:
+    for i, n in enumerate(lengths):
+        while open_[-1][0] > same[i]:
             child = close()
-            if open_[-1][0] < same:
-                open_.append([same, child[1], child[2], child[3]])
+            if open_[-1][0] < same[i]:
+                open_.append([same[i], child[1], child[2], child[3]])
             else:
                 into(open_[-1], child)
-        leaf = [len(x), own[i], own[i] + multi[i], [i]]
-        if open_[-1][0] == len(x):
+        leaf = [n, own[i], own[i] + multi[i], [i]]
+        if open_[-1][0] == n:
             into(open_[-1], leaf)
         else:
             open_.append(leaf)
-        last = x
     while len(open_) > 1:
         child = close()
         into(open_[-1], child)
@@ -260,7 +278,7 @@ def longest_shared(ahead: list[list[int]], own: list[int], multi: list[bool], ro
     return found
 
 
-def extended(chains: DataFrame, width: int = 8) -> DataFrame:
+def extended(chains: DataFrame, width: int = 32) -> DataFrame:
     """fp, at, j, n, first: from link j of a chain, over how many links another document goes along, and the smallest doc_id that goes along so far.
 
     Absent are chains of one link, which need no search, and links before which all documents have the same word: what matches from there, matches from further left."""
@@ -273,10 +291,10 @@ def extended(chains: DataFrame, width: int = 8) -> DataFrame:
         rows: list[tuple] = []
 
         def settle() -> None:
-            found = longest_shared([r[1] for r in held], [r[2] for r in held], [r[3] for r in held])
-            for (c, ahead, _, _, fp, at, j, done, first), (n, low) in zip(held, found):
+            _, lengths, same, own, multi = zip(*(r[:5] for r in held))
+            for (c, _, _, _, _, ahead, fp, at, j, done, first), (n, low) in zip(held, deepest(lengths, (0, *same[1:]), own, multi)):
                 on = n == width
-                name = xxhash.xxh3_64_intdigest(np.array([c, *ahead], np.int64).tobytes()) - (1 << 63) if on else None
+                name = xxhash.xxh3_64_intdigest(c.to_bytes(8, "little", signed=True) + ahead) - (1 << 63) if on else None
                 rows.append((fp, at, j, name, done + n, first if done + n == 1 else low, on))
 
         def flush() -> pa.RecordBatch:
@@ -285,8 +303,17 @@ def extended(chains: DataFrame, width: int = 8) -> DataFrame:
             rows.clear()
             return out
 
+        last = np.zeros(0, np.int64)
         for b in batches:
-            for r in zip(*[b.column(n).to_pylist() for n in ("c", "ahead", "doc_id", "multi", "fp", "at", "j", "done", "first")]):
+            if not b.num_rows:
+                continue
+            ahead = b.column("ahead")
+            flat, n = ahead.flatten().to_numpy(), ahead.value_lengths().to_numpy().astype(np.int64)
+            same = common_beginnings(np.concatenate([last, flat]), np.concatenate([[len(last)], n]))[1:]  # with what the batch before ended with
+            ends = np.cumsum(n)
+            last = flat[ends[-1] - n[-1] :].copy()
+            whole = [flat[e - k : e].tobytes() if k == width else None for e, k in zip(ends.tolist(), n.tolist())]  # only those may go on
+            for r in zip(b.column("c").to_pylist(), n.tolist(), same.tolist(), *[b.column(x).to_pylist() for x in ("doc_id", "multi")], whole, *[b.column(x).to_pylist() for x in ("fp", "at", "j", "done", "first")]):
                 if held and held[0][0] != r[0]:
                     settle()
                     held.clear()
