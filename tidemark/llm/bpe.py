@@ -7,8 +7,8 @@ ids are in a table. The arrays are one file, sent to all executors and memory-ma
 share its pages. Words that aren't in it are merged exactly, by rank, on the spot; so the ids are always
 those of plain BPE.
 
-The pattern never goes across white space, but for one blank before a word. So texts are first cut into pieces, from a blank to the next
-white space, by a far simpler pattern; the words of a piece, and its ids, are found once and remembered, up to a bound, for all its places.
+The pattern never goes across white space, but for one blank before a word. So for the counts, texts are first cut into pieces, from a blank to the next
+white space, by a far simpler pattern; the words of a piece are then found once for all its places in a task.
 
 Defined cases: a null text has null ids, n_tokens null and round_trip null; an empty text has no ids and round-trips; lone
 surrogates can't occur in Spark strings; strings of special tokens are ordinary text; equal rows give equal results; a null
@@ -193,29 +193,24 @@ class Encoder:
         for token, i in ranks.items():
             self.bytes_of[i] = token
 
-    def learn(self, pieces: list[str]) -> None:
-        split = list(map(self.split, pieces))
-        words = list(set(chain.from_iterable(split)))
+    def learn(self, words: list[str]) -> None:
         raw = [w.encode("utf-8") for w in words]
         ranks, start, ids = self.lexicon.ranks(raw), self.lexicon.start, self.lexicon.ids.data.cast("B")
         a = np.where(ranks >= 0, start[ranks], -1)
-        ids_of = {}
         for w, r, x, y in zip(words, raw, a.tolist(), start[np.minimum(ranks, len(start) - 2) + 1].tolist()):
-            ids_of[w] = bytes(ids[4 * x : 4 * y]) if x >= 0 else array("i", merge(r, self.ranks)).tobytes()
-        for piece, own in zip(pieces, split):
-            self.known[piece] = b"".join(map(ids_of.__getitem__, own))
+            self.known[w] = bytes(ids[4 * x : 4 * y]) if x >= 0 else array("i", merge(r, self.ranks)).tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[bytes | None]:
         out: list[bytes | None] = []
         for a, b in slices([len(t or "") for t in texts], 1_000_000):
-            pieces = [None if t is None else PIECES.findall(t) for t in texts[a:b]]
-            every = set().union(*(w for w in pieces if w))
+            words = [None if t is None else self.split(t) for t in texts[a:b]]
+            every = set().union(*(w for w in words if w))
             new = every - self.known.keys()
             if len(self.known) + len(new) > self.limit:
                 self.known.clear()
                 new = every
             self.learn(list(new))
-            out += [None if w is None else b"".join(map(self.known.__getitem__, w)) for w in pieces]
+            out += [None if w is None else b"".join(map(self.known.__getitem__, w)) for w in words]
         return out
 
     def encode(self, text: str) -> bytes:
