@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -182,6 +183,35 @@ def test_training_documents_are_taken_from_those_there(spark):
     assert 1 in {r.doc_id for r in kept.collect()}
 
 
+def test_a_long_word_takes_its_own_room_only():
+    tracemalloc.start()
+    k, w = classifier.document_features(f"{prose(1, 20_000)} {'x' * 20_000} {prose(1, 20)}", classifier.PARAMETERS)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6 and len(k) == len(w) and abs(w.sum() - 1) < 1e-3  # 20,000 words of that room would be 1.6 GB
+
+
+def test_training_texts_do_not_go_to_the_driver(spark):
+    texts = {i: prose(i, 30_000) for i in range(80)}
+    docs = spark.createDataFrame([row(i, t) for i, t in texts.items()], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    p = classifier.PARAMETERS | {"epochs": 1}
+    order = {r.doc_id: r.h for r in labels.selectExpr("doc_id", f"xxhash64(doc_id, {p['seed']}) AS h").collect()}
+    first = sorted(texts, key=lambda i: (i % 2, order[i]))
+    conf, own = spark.sparkContext._jsc.sc().conf(), {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, most = {k: spark.conf.get(k) for k in own}, conf.get("spark.driver.maxResultSize", "1g")
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        conf.set("spark.driver.maxResultSize", "3m")  # the texts of a class have 9 MB
+        got = classifier.fit(docs, labels, p)
+    finally:
+        conf.set("spark.driver.maxResultSize", most)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert np.array_equal(got, classifier.train([texts[i] for i in first], [i % 2 for i in first], p))
+
+
 def test_license_scan_equals_all_rules_without_prefilter(spark):
     s = license_scan.Scanner()
     texts = [

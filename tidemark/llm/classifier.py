@@ -9,6 +9,7 @@ once: a word's sums of class scores are cached, and a document is the sum over i
 
 Training reads at most `max_per_class` labelled documents of each class, those of the smallest hashed
 doc_id among the documents that are there; whole texts, both in training and in scoring. Everything else covers all rows.
+Texts stay on the executors: they send each document's features, one partition at a time, to a file of the driver that the descent reads.
 
 Defined cases: a null or blank text has no features and scores by the bias alone, and `keep_good`
 rejects it; a null doc_id is scored, never used in training; a doc_id with several labels uses the
@@ -19,15 +20,19 @@ returned untouched by `keep_good`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import numbered, slices
+from tidemark.llm.common import cut, numbered, slices
 
 CLASSES = 2  # 0 low quality, 1 good
 #: buckets is a power of 2; a document is rejected when p_good is under threshold, which is low since clean documents are to stay.
@@ -62,21 +67,52 @@ def word_features(words: list[str], buckets: int, ngrams: tuple[int, ...]) -> tu
     return (np.concatenate(found) & np.uint64(buckets - 1)).astype(np.int64), np.concatenate(of)
 
 
+def document_features(text: str | None, p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct feature buckets of a text and the share of each."""
+    counts = Counter((text or "").split())  # np.unique would give every word the room of the longest
+    words, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+    weight = np.zeros(p["buckets"])
+    for x, y in slices([len(w) for w in words], 1_000_000):
+        f, of = word_features(words[x:y], p["buckets"], p["ngrams"])
+        weight += np.bincount(f, n[x:y][of], p["buckets"])
+    k = np.nonzero(weight)[0]
+    return k.astype(np.int32), (weight[k] / max(weight.sum(), 1)).astype(np.float32)
+
+
+class Stored(Sequence):
+    """Features of documents in a file, in the order in which they were given; only their places are in memory."""
+
+    def __init__(self, path: Path, parts: Iterator[tuple[int, bytes, bytes]]):
+        self.at: dict[int, tuple[int, int]] = {}
+        end = 0
+        with path.open("wb") as file:
+            for i, k, w in parts:
+                self.at[i] = end, len(k) // 4
+                end += file.write(k) + file.write(w)
+        self.order = sorted(self.at)
+        self.words = np.memmap(path, np.int32, "r") if end else np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        start, n = self.at[self.order[i]]
+        return self.words[start // 4 : start // 4 + n], self.words[start // 4 + n : start // 4 + 2 * n].view(np.float32)
+
+
 def train(texts: list[str], classes: list[int], p: dict = PARAMETERS) -> np.ndarray:
     """Class scores of each feature (buckets x classes), with the bias as the last row."""
+    return descend([document_features(text, p) for text in texts], classes, p)
+
+
+def descend(docs: Sequence[tuple[np.ndarray, np.ndarray]], classes: list[int], p: dict) -> np.ndarray:
+    """The same, from document_features."""
     rng = np.random.default_rng(p["seed"])
     E = ((rng.random((p["buckets"], p["dims"])) - 0.5) / p["dims"]).astype(np.float32)
     W = np.zeros((p["dims"], CLASSES), np.float32)
     y = np.asarray(classes, np.int64)
     counts = np.bincount(y, minlength=CLASSES) + 1.0
     bias = np.log(counts / counts.sum()).astype(np.float32)
-    docs = []
-    for text in texts:
-        words, n = np.unique((text or "").split(), return_counts=True)
-        f, of = word_features(words.tolist(), p["buckets"], p["ngrams"])
-        k, at = np.unique(f, return_inverse=True)
-        weight = np.bincount(at, n[of]) if len(f) else np.zeros(0)
-        docs.append((k, (weight / max(weight.sum(), 1)).astype(np.float32)))
     if len(set(classes)) == CLASSES:
         steps, step = p["epochs"] * len(docs), 0
         for _ in range(p["epochs"]):
@@ -157,10 +193,20 @@ def fit(docs: DataFrame, labels: DataFrame, p: dict = PARAMETERS) -> np.ndarray:
     for c in range(CLASSES):
         part = there.where((F.col("__quality") >= 1) == F.lit(bool(c))).orderBy(order, "__id").limit(p["max_per_class"])
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # the bound makes it small
-    rows = rows.where("text is not null").groupBy("__id", "__quality").agg(F.min("text").alias("text"))
-    by_class = [rows.where((F.col("__quality") >= 1) == F.lit(bool(c))).orderBy(order, "__id").limit(p["max_per_class"]).select("text").toPandas()["text"].tolist() for c in range(CLASSES)]
-    return train([t for part in by_class for t in part], [c for c, part in enumerate(by_class) for _ in part], p)
+    ranked = chosen.orderBy(F.col("__quality") >= 1, order, "__id").collect()  # at most max_per_class ids of each class
+    numbers = docs.sparkSession.createDataFrame([(r["__id"], i) for i, r in enumerate(ranked)], StructType([chosen.schema["__id"], StructField("__at", LongType())]))
+    rows = docs.select("doc_id", "text").join(F.broadcast(numbers), F.col("doc_id") == F.col("__id"))
+    rows = rows.where("text is not null").groupBy("__at").agg(F.min("text").cast("string").alias("text"))
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [document_features(text.as_py(), p) for text in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("__at"), pa.array([k.tobytes() for k, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], ["__at", "k", "w"])
+
+    with tempfile.TemporaryDirectory(prefix="tidemark-") as folder:
+        rows = cut(rows.mapInArrow(featured, "__at long, k binary, w binary"))  # side by side; the iterator would make one partition after the other
+        stored = Stored(Path(folder, "features"), rows.toLocalIterator())
+        return descend(stored, [int(ranked[i]["__quality"] >= 1) for i in stored.order], p)
 
 
 def score(docs: DataFrame, labels: DataFrame, p: dict = PARAMETERS) -> DataFrame:
