@@ -177,6 +177,14 @@ def related() -> dict:
     return {i: " ".join(rng.choice(topics[i % 6]) for _ in range(60)) for i in range(60)}
 
 
+def test_relatedness_is_rounded_without_decimals(spark):
+    held = {1: [(3, 7), (5, 8)], 2: [(3, 7), (5, 8)], 3: [(3, 7), (2, 9)], 4: [(2, 9)]}
+    found = packing.links(spark.createDataFrame([(i, t) for i, t in held.items()], "id long, t array<struct<df: long, word: long>>"))
+    assert "round(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {(a, b): round(sum(1 / np.log2(1 + df) for df, _ in {*held[a]} & {*held[b]}), 6) for a in held for b in held if a != b and {*held[a]} & {*held[b]}}
+    assert {(r.a, r.b): r.near for r in found.collect()} == want
+
+
 def test_graph_is_exact(spark):
     docs, p = related(), packing.PARAMETERS
     want, terms = brute_links(docs, p)
