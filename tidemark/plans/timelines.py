@@ -60,7 +60,7 @@ def lengths(segments: DataFrame) -> DataFrame:
 def points(segments: DataFrame) -> DataFrame:
     grid = lengths(segments).select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("duration_ms"), F.lit(500).cast("bigint"))).alias("ms"))
     near = segments.select("doc_id", F.explode(F.transform(F.array(*map(F.lit, (-71, -70, 0, 70, 71))), lambda o: F.col("start_ms") + o)).alias("ms"))
-    return grid.unionByName(near).where("ms >= 0").distinct()
+    return J.bucketed(grid.unionByName(near).where("ms >= 0"), parts_of(segments)).distinct()
 
 
 def scenes(segments: DataFrame) -> DataFrame:
@@ -133,19 +133,19 @@ def edit_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(*SEGS, POINTS, "SELECT p.doc_id, ms, coalesce(max(seg_idx), -1)::INTEGER AS seg_idx FROM points p LEFT JOIN segs s ON s.doc_id = p.doc_id AND s.start_ms <= ms AND ms < s.end_ms GROUP BY p.doc_id, ms")
 def segment_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(X.segments(spark, sf_dir))
-    return J.segment_at(points(rows), rows)
+    return J.segment_at(points(rows), rows, parts_of(rows))
 
 
 @query(*SEGS, POINTS, SCENES, "SELECT p.doc_id, ms, coalesce(max(scene_idx), -1)::INTEGER AS scene_idx FROM points p LEFT JOIN scenes s ON s.doc_id = p.doc_id AND s.start_ms <= ms AND ms < s.end_ms GROUP BY p.doc_id, ms")
 def scene_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(X.segments(spark, sf_dir))
-    return J.scene_at(points(rows), scenes(rows))
+    return J.scene_at(points(rows), scenes(rows), parts_of(rows))
 
 
 @query(*SEGS, POINTS, ACTIVE, "SELECT doc_id, ms, seg_idx, round(alpha, 9) AS alpha FROM active")
 def active_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(X.segments(spark, sf_dir))
-    return V.active_segments(points(rows), rows).withColumn("alpha", F.round("alpha", 9))
+    return V.active_segments(points(rows), rows, parts=parts_of(rows)).withColumn("alpha", F.round("alpha", 9))
 
 
 STATES = """
@@ -160,14 +160,15 @@ FRAMES = "points AS (SELECT doc_id, f * 1000 // 5 AS ms FROM (SELECT doc_id, unn
 def frame_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(X.segments(spark, sf_dir))
     clock = V.frame_clock(lengths(rows), 5).select("doc_id", "ms")
-    return V.changed_frames(V.frame_states(clock, rows, scenes(rows), overlays(rows)))
+    parts = parts_of(rows)
+    return V.changed_frames(V.frame_states(clock, rows, scenes(rows), overlays(rows), parts=parts), parts)
 
 
 @query(*SEGS, POINTS, SCENES, OVERLAYS, ACTIVE, SHOWN, "SELECT doc_id, ms, layer, seg_idx AS item, round(alpha, 9) AS alpha FROM active, (VALUES (2), (3)) AS v(layer) WHERE layer = 2 OR seg_idx % 3 = 0 UNION ALL SELECT doc_id, ms, CASE WHEN on_top THEN 4 ELSE 1 END, overlay_idx, round(alpha, 9) FROM shown UNION ALL SELECT p.doc_id, ms, 0, max(scene_idx), 1.0 FROM points p JOIN scenes s ON s.doc_id = p.doc_id AND s.start_ms <= ms AND ms < s.end_ms GROUP BY p.doc_id, ms")
 def draw_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(X.segments(spark, sf_dir))
     told = rows.withColumn("translation", F.expr("if(seg_idx % 3 = 0, lower(text), '')"))
-    return V.draw_plan(points(rows), told, scenes(rows), overlays(rows)).withColumn("alpha", F.round("alpha", 9))
+    return V.draw_plan(points(rows), told, scenes(rows), overlays(rows), parts=parts_of(rows)).withColumn("alpha", F.round("alpha", 9))
 
 
 def marks(spark: SparkSession) -> DataFrame:
