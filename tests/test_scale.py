@@ -83,3 +83,8 @@ def test_blocks_of_one_key_go_to_many_tasks(spark):
     sizes = vectors.cosine_pairs(table, "label", 20).groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in sizes) == 400 * 399 // 2
     assert len(sizes) > 4 and max(r["count"] for r in sizes) < 400 * 399 // 4
+
+
+def test_double_vectors_keep_their_digits(spark):
+    table = spark.createDataFrame([(1, 1, [0.1, 0.7]), (1, 2, [0.3, 0.9])], "label int, vec_id bigint, embedding array<double>")
+    assert vectors.cosine_pairs(table, "label").first().distance == 1 - (0.0 + 0.1 * 0.3 + 0.7 * 0.9)
